@@ -165,7 +165,7 @@ def library_encoder(path: str, words: bool) -> Chunks:
     return Chunks(chunks, whole, words)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Batches of about limit bytes of text: large ones are cut, and small ones put together, so that the
     chunks of many texts are numbered at once."""
     held: list[pa.RecordBatch] = []

@@ -2,8 +2,8 @@
 
 A record is: length of the payload (u64), masked CRC-32 of those 8 bytes (u32), payload, masked CRC-32
 of the payload (u32), and one byte 0x0A. Numbers are little-endian; a masked checksum is the CRC rotated
-right by 15 bits plus 0xA282EAD8. The payload is the document's id (i64, and a byte that says whether it
-has one), then its ids (u32 each). The last byte lets Spark's own text writer put the records into any
+right by 15 bits plus 0xA282EAD8. The payload is a byte that says whether the document has an id,
+that id (i64), the width of the ids in bytes (u8: 2 if all fit, else 4), then the ids. The last byte lets Spark's own text writer put the records into any
 store that Spark can write, under its commit protocol: a task that is tried again leaves no torn or
 doubled file. Part files in order of their number, and records in order of their place, are the documents
 in ascending doc_id order (nulls first).
@@ -61,12 +61,13 @@ def frames(content: bytes) -> Iterator[tuple[int, bytes]]:
 
 
 def payload_of(doc_id: int | None, ids: np.ndarray) -> bytes:
-    return struct.pack("<?q", doc_id is not None, doc_id or 0) + ids.astype("<u4").tobytes()
+    width = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
+    return struct.pack("<?qB", doc_id is not None, doc_id or 0, width) + ids.astype(f"<u{width}").tobytes()
 
 
 def parse(payload: bytes) -> tuple[int | None, np.ndarray]:
-    has, doc_id = struct.unpack_from("<?q", payload)
-    return (doc_id if has else None), np.frombuffer(payload, "<u4", offset=9)
+    has, doc_id, width = struct.unpack_from("<?qB", payload)
+    return (doc_id if has else None), np.frombuffer(payload, f"<u{width}", offset=10).astype("<u4")
 
 
 def encoder(path: str, words: bool):
@@ -164,7 +165,7 @@ def read_all(spark: SparkSession, out: str) -> DataFrame:
                 rows, before = [], 0
                 for place, (_, payload) in enumerate(frames(content.as_py())):
                     doc_id, ids = parse(payload)
-                    rows.append((part, place, doc_id, before, len(ids), zlib.crc32(payload[9:])))
+                    rows.append((part, place, doc_id, before, len(ids), zlib.crc32(ids.tobytes())))
                     before += len(ids)
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["part", "place", "doc_id", "upto", "n_tokens", "ids_crc32"])
