@@ -22,6 +22,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import small_batches
@@ -131,7 +132,7 @@ def measure(texts: list[str | None]) -> dict[str, np.ndarray]:
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about limit bytes, one row at least: a long text gets a slice of its own."""
     at, size = 0, 0
-    for i, n in enumerate(pa.compute.binary_length(texts).fill_null(0).to_pylist()):
+    for i, n in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):
         if size and size + n > limit:
             yield at, i
             at, size = i, 0
