@@ -363,5 +363,5 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that have a smaller doc_id in their component; columns as they are."""
     found = similarity_components(docs, id_col, text_col)
-    losers = found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_loser")).distinct()
-    return docs.join(losers, F.col(id_col) == F.col("_loser"), "left_anti")
+    losers = found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("loser")).distinct()
+    return docs.alias("d").join(losers.alias("l"), F.col(f"d.{id_col}") == F.col("l.loser"), "left_anti")

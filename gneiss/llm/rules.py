@@ -198,6 +198,6 @@ def quality_rules(docs: DataFrame, policy: Policy = POLICIES["v1"]) -> DataFrame
 
 
 def drop_rejected(docs: DataFrame, policy: Policy = POLICIES["v1"], text_col: str = "text") -> DataFrame:
-    """The documents that the policy keeps, with their own columns."""
-    marked = ledger(docs.withColumn("_t", F.col(text_col)), "_t", docs.columns)
-    return marked.where(~rejected(policy)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that the policy keeps, with their own columns, whatever those are called."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
+    return ledger(rows, keep=["row"]).where(~rejected(policy)).select("row.*")

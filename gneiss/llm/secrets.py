@@ -153,13 +153,14 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with each reported span, or run of overlapping spans, replaced by [SECRET]; n_chars, if there is
     such a column, follows the text. Rows and other columns stay as they are."""
     suspect = F.coalesce(suspicious(F.col(text_col)), F.lit(False))
-    rows = stored(docs.where(suspect).withColumn("_uid", F.monotonically_increasing_id()), "secret-hits")
-    spans = find_spans(rows.select(F.col("_uid").alias("uid"), F.col(text_col).alias("text")))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = stored(docs.where(suspect).select(whole, F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("uid")), "secret-hits")
+    spans = find_spans(rows.select("uid", "text"))
     before = Window.partitionBy("uid").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
     runs = spans.withColumn("done", F.coalesce(F.max("end").over(before), F.lit(0))).groupBy("uid").agg(
         F.sort_array(F.collect_list(F.struct("start", "end", "done"))).alias("runs"), F.max("end").alias("last")
     )
-    text = F.col(text_col)
+    text = F.col("text")
     pieces = F.transform(
         "runs",
         lambda x: F.when(
@@ -168,10 +169,10 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
         ).otherwise(F.lit("")),
     )
     masked = F.concat(F.array_join(pieces, ""), F.substring(text, (F.col("last") + 1).cast("int"), F.length(text)))
-    joined = rows.join(runs.withColumnRenamed("uid", "_run_uid"), F.col("_uid") == F.col("_run_uid"), "left")
-    changed = joined.withColumn("_new", F.when(F.col("runs").isNotNull(), masked).otherwise(text))
+    changed = rows.join(runs, "uid", "left").withColumn("new", F.when(F.col("runs").isNotNull(), masked).otherwise(text))
+    own = lambda c: F.col("row").getField(c)
     out = [
-        F.col("_new").alias(c) if c == text_col else F.length("_new").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`")
+        F.col("new").alias(c) if c == text_col else F.length("new").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else own(c).alias(c)
         for c in docs.columns
     ]
     return docs.where(~suspect).unionByName(changed.select(*out))
