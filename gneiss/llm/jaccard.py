@@ -268,18 +268,13 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
         for b in batches:
             a_ids, b_ids, out = b.column(0).to_pylist(), b.column(1).to_pylist(), []
             for at in range(0, b.num_rows, 64):
                 one, two = b.column(2).slice(at, 64).to_pylist(), b.column(3).slice(at, 64).to_pylist()
-                firsts = [t if t != last[0] and (i == 0 or t != one[i - 1]) else None for i, t in enumerate(one)]
-                sets = shingle_sets(firsts)
-                for i, other in enumerate(shingle_sets(two)):
-                    if firsts[i] is not None:
-                        last = (one[i], sets[i])
-                    if similar(last[1], other):
-                        out.append(at + i)
+                own = list(dict.fromkeys(one))  # the first document of a group comes again and again
+                sets = dict(zip(own, shingle_sets(own), strict=True))
+                out += [at + i for i, other in enumerate(shingle_sets(two)) if similar(sets[one[i]], other)]
             yield pa.RecordBatch.from_arrays([pa.array([a_ids[i] for i in out], pa.int64()), pa.array([b_ids[i] for i in out], pa.int64())], names=["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
