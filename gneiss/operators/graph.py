@@ -43,6 +43,42 @@ def subgraph(edges: DataFrame, name: DataFrame, direction: str) -> DataFrame:
     return up.unionByName(closure(edges, name)).groupBy("name").agg(F.min("depth").alias("depth"))
 
 
+def localize(nodes: DataFrame, edges: DataFrame, name: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The part of a graph around a node, all that it rests on and all that rests on it, with its edges."""
+    near = stored(subgraph(edges, name, "both").select("name"))
+    inside = edges.join(near.withColumnRenamed("name", "src"), "src", "left_semi").join(near.withColumnRenamed("name", "dst"), "dst", "left_semi")
+    return nodes.join(near, "name", "left_semi"), inside.select("src", "dst")
+
+
+def settled_depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """G2 with the bump: of nodes at one depth, one whose facts strictly include another's moves a level down, with
+    what rests on it, until nothing moves. Compares nodes of a depth that share a fact, not all of them."""
+    edges = stored(edges.select("src", "dst").distinct())
+    facts = edges.join(nodes.where("kind = 'fact'").select(F.col("name").alias("src")), "src", "left_semi")
+    counts = stored(facts.groupBy(F.col("dst").alias("name")).agg(F.count(F.lit(1)).alias("n")))
+    now = stored(depths(nodes, edges))
+    for _ in range(nodes.count() + 1):
+        at = now.join(counts, "name").select(F.col("name").alias("dst"), "depth", "n")
+        held = facts.join(at, "dst")
+        a = held.select("src", F.col("dst").alias("a"), F.col("depth").alias("at"), F.col("n").alias("n_a"))
+        b = held.select("src", F.col("dst").alias("b"), F.col("depth").alias("b_at"), F.col("n").alias("n_b"))
+        shared = a.join(b, "src").where((F.col("at") == F.col("b_at")) & (F.col("n_a") > F.col("n_b"))).groupBy("a", "b", "n_b").agg(F.count(F.lit(1)).alias("k"))
+        bumped = shared.where(F.col("k") == F.col("n_b")).select(F.col("a").alias("name")).distinct().withColumn("more", F.lit(1))
+        raised = now.join(bumped, "name", "left").select("name", (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+        below = edges.join(raised.withColumnRenamed("name", "src"), "src").groupBy(F.col("dst").alias("name")).agg((F.max("depth") + 1).alias("least"))
+        later = stored(raised.join(below, "name", "left").select("name", F.greatest("depth", F.coalesce("least", F.lit(0))).alias("depth")))
+        if later.join(now, ["name", "depth"], "left_anti").isEmpty():
+            return later
+        now = later
+    raise ValueError("depths don't settle")
+
+
+def reprobe(old_nodes: DataFrame, edges: DataFrame, fresh: DataFrame, changed: DataFrame) -> DataFrame:
+    """Nodes again after a change: those that the changed names reach come from `fresh`, the others stay."""
+    reached = stored(closure(edges, changed).select("name"))
+    return old_nodes.join(reached, "name", "left_anti").unionByName(fresh.join(reached, "name", "left_semi"))
+
+
 def depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(name, depth), the longest path from a node without inputs."""
     edges = edges.select("src", "dst").distinct()

@@ -655,6 +655,168 @@ def history_page(spark, sf_dir):
     return D.history_page(runs, 20, 40)
 
 
+# --- more of the search page, the lens and the sources ---
+
+
+@query(f"WITH {THE} SELECT doc, line FROM b WHERE line % 3 = 0 ORDER BY -1.0 / (line % 5 + 1), -(line % 4 + 1), doc, line LIMIT 30")
+def coverage_rank(spark, sf_dir):
+    hits = _phrase(spark, sf_dir, "tion").where("line % 3 = 0")
+    names = hits.select("doc", "line", F.explode(F.sequence(F.lit(0), F.col("line") % 4)).alias("k"))
+    callers = names.select("doc", "line", F.concat(F.lit("f"), "k").alias("name"), (F.lit(1.0) / (F.col("line") % 5 + 1)).alias("overlap"))
+    return _key(search.limit(30, search.rank("coverage", search.with_callers(hits.withColumn("ord", F.struct("doc", "line")), callers))))
+
+
+@query(f"WITH {THE}, t AS (SELECT doc, line FROM b WHERE line % 2 = 0) SELECT (SELECT count(*) FROM b) AS rows, (SELECT count(DISTINCT doc % 7) FROM t) AS callers")
+def search_totals(spark, sf_dir):
+    hits = _phrase(spark, sf_dir, "tion")
+    callers = hits.where("line % 2 = 0").select("doc", "line", F.concat(F.lit("f"), F.col("doc") % 7).alias("name"), F.lit(1.0).alias("overlap"))
+    return search.totals(search.with_callers(hits, callers))
+
+
+@query(f"WITH {THE} SELECT doc, line FROM a ORDER BY CAST(doc AS VARCHAR), line LIMIT greatest(0, (SELECT count(*) FROM a) - 5)")
+def limit_negative(spark, sf_dir):
+    return _key(search.limit(-5, _phrase(spark, sf_dir, "ing and")))
+
+
+@query(f"WITH {THE} SELECT 'sr' AS tag, doc, line, context FROM a")
+def result_forms(spark, sf_dir):
+    return search.results(_phrase(spark, sf_dir, "ing and")).select("form.tag", "form.doc", "form.line", "form.context")
+
+
+@query(f"WITH {THE} SELECT 'sr' AS tag, CAST(doc AS VARCHAR) || ':' || line AS key FROM a UNION ALL SELECT 'ln', c_name FROM customer")
+def form_keys(spark, sf_dir):
+    sr = forms.tagged(_phrase(spark, sf_dir, "ing and"), "sr")
+    ln = _table(spark, sf_dir, "customer").select(F.lit("ln").alias("tag"), F.col("c_name").alias("name"))
+    both = forms.mixed(sr, ln)
+    return both.select("tag", forms.form_key(both).alias("key"))
+
+
+@query("SELECT (SELECT count(*) FROM customer WHERE c_custkey % 2 = 0) AS n")
+def count_forms(spark, sf_dir):
+    return forms.count_forms(_forms(spark, sf_dir)[0])
+
+
+@query("SELECT c_name AS name FROM customer WHERE c_custkey % 2 = 0 ORDER BY c_custkey LIMIT 7")
+def limit_forms(spark, sf_dir):
+    return forms.limit_forms(7, _forms(spark, sf_dir)[0], "value").select("name")
+
+
+@query("WITH " + EDGES + " SELECT name, kind FROM nodes WHERE contains(kind, 'term')")
+def lens_kind(spark, sf_dir):
+    return G.kind(_graph(spark, sf_dir)[0], "term").select("name", "kind")
+
+
+@query("WITH " + EDGES + " SELECT 'in' AS side, src AS name FROM edges WHERE dst = 'c9' UNION ALL SELECT 'out', dst FROM edges WHERE src = 'c9'")
+def lens_neighbours(spark, sf_dir):
+    edges = _graph(spark, sf_dir)[1]
+    return G.inputs(edges, "c9").select(F.lit("in").alias("side"), "name").unionAll(G.downstream(edges, "c9").select(F.lit("out").alias("side"), "name"))
+
+
+@query("WITH " + EDGES + " SELECT name, value FROM nodes WHERE starts_with(name, 'n1')")
+def lens_focus(spark, sf_dir):
+    return G.focus(_graph(spark, sf_dir)[0], "n1").select("name", "value")
+
+
+@query("WITH " + EDGES + " SELECT name, value FROM nodes WHERE name = 'r2'")
+def lens_node(spark, sf_dir):
+    return G.node(_graph(spark, sf_dir)[0], "r2").select("name", "value")
+
+
+@query(DEPTHS + " SELECT CAST(coalesce(max(depth), -1) AS INTEGER) AS depth FROM depths WHERE name = 'o1'")
+def lens_depth(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    return G.depth_of(G.depths(nodes, edges), "o1")
+
+
+@query(DEPTHS + " SELECT name FROM depths WHERE depth = 1")
+def lens_layer(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    return G.depths(nodes, edges).where("depth = 1").select("name")
+
+
+@query(DEPTHS + """ SELECT src AS name, CAST(max(b.depth) AS BIGINT) AS depth FROM edges JOIN nodes ON nodes.name = src JOIN depths a ON a.name = src JOIN depths b ON b.name = dst
+ WHERE kind NOT IN ('axiom', 'term-fwd') AND b.depth - a.depth = 1 GROUP BY src""")
+def last_use_depth(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    depth = G.depths(nodes, edges)
+    return _long_depth(G.last_use(G.input_classes(nodes, edges, depth), depth))
+
+
+@query("WITH RECURSIVE " + EDGES + ", u AS (SELECT 'n2' AS name UNION SELECT src FROM u JOIN edges ON dst = name), d AS (SELECT 'n2' AS name UNION SELECT dst FROM d JOIN edges ON src = name), k AS (FROM u UNION FROM d) SELECT src, dst FROM edges WHERE src IN (FROM k) AND dst IN (FROM k)")
+def localize_edges(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    return G.localize(nodes, edges, _one(spark, "n2"))[1]
+
+
+@query("WITH " + EDGES + " SELECT name, CASE WHEN name LIKE 'o%' THEN value || '!' ELSE value END AS value FROM nodes WHERE name NOT LIKE 'o%' OR name IN (SELECT dst FROM edges WHERE src = 'c1') UNION ALL SELECT name, value FROM nodes WHERE name LIKE 'o%' AND name NOT IN (SELECT dst FROM edges WHERE src = 'c1')")
+def partial_reprobe(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    fresh = nodes.withColumn("value", F.when(F.startswith("name", F.lit("o")), F.concat("value", F.lit("!"))).otherwise(F.col("value")))
+    return G.reprobe(nodes, edges, fresh, _one(spark, "c1")).select("name", "value")
+
+
+@query(f"WITH {ITEMS} SELECT count(*) FILTER (category = 'issue') = 0 AS consistent FROM items WHERE value IS NULL".replace(" WHERE value IS NULL", ""))
+def health_consistent(spark, sf_dir):
+    return G.consistent(_items(spark, sf_dir))
+
+
+@query("SELECT conv_id, count(*) AS blocks, min(turn) FILTER (turn = 2) IS NULL AS clean, min(turn) FILTER (turn = 2) AS break_point FROM conversations GROUP BY conv_id")
+def chain_breaks(spark, sf_dir):
+    made = I.build_chains(_table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+    spoilt = made.withColumn("content", F.when(F.col("n") == 2, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    checked = I.check_chains(spoilt, "conv_id")
+    return I.clean(checked, "conv_id").join(checked.groupBy("conv_id").agg(F.count(F.lit(1)).alias("blocks")), "conv_id")
+
+
+@query("SELECT key AS conv_id, count(*) AS verified FROM (SELECT conv_id AS key, turn FROM conversations WHERE turn = 1) GROUP BY key")
+def merkle_proofs(spark, sf_dir):
+    c = _table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("pos"), F.col("text").alias("content"))
+    tree = I.merkle(c, "conv_id")
+    steps = I.proof(tree, "conv_id", 1).groupBy("conv_id").agg(F.collect_list(F.struct("level", "hash", "left")).alias("steps"))
+    leaf = c.where("pos = 1").join(steps, "conv_id").join(I.roots(tree, "conv_id"), "conv_id")
+    return leaf.where(I.verify_proof(F.col("content"), F.col("steps")) == F.col("root")).groupBy("conv_id").agg(F.count(F.lit(1)).alias("verified"))
+
+
+@query("SELECT source AS k, CAST(doc_id // 2 AS BIGINT) AS n, count(*) AS times FROM documents GROUP BY ALL HAVING count(*) > 1")
+def duplicate_blocks(spark, sf_dir):
+    return I.duplicates(_table(spark, sf_dir, "documents").select(F.col("source").alias("k"), F.expr("doc_id div 2").alias("n")), "k")
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 1 THEN 'done' ELSE o_orderstatus END AS status FROM orders WHERE o_orderkey % 5 <> 0")
+def history_merge(spark, sf_dir):
+    runs = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
+    gone = runs.where("id % 5 = 0").withColumn("op", F.lit("delete"))
+    put = runs.where("id % 5 = 1").select("id", F.lit("done").alias("status"), F.lit("put").alias("op"))
+    return D.history_apply(runs, gone.unionByName(put))
+
+
+@query(r"""WITH w AS (SELECT doc_id AS doc, unnest(string_split(CASE WHEN doc_id % 10 = 2 THEN text || ' zz' ELSE text END, ' ')) AS word FROM documents WHERE doc_id % 10 <> 0) SELECT doc, count(*) AS n FROM w GROUP BY doc""")
+def reindex_incremental(spark, sf_dir):
+    docs, last = _docs(spark, sf_dir), F.col("doc") % 10
+    new = docs.where(last != 0).withColumn("text", F.when(last == 2, F.concat("text", F.lit(" zz"))).otherwise(F.col("text")))
+    index = lambda d: d.select("doc", F.explode(F.split("text", " ")).alias("word"))
+    return D.reindex(docs.where(last != 1), new, index).groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id AS doc FROM documents WHERE NOT regexp_matches(source, '^src1') AND source <> 'src3'")
+def ignore_rules(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.lit("data"), "source", F.concat(F.col("doc_id"), F.lit(".txt")))
+    return d.where(~D.ignored(path, ["src1*", "src3/"])).select(F.col("doc_id").alias("doc"))
+
+
+@query("SELECT doc_id AS name, typeof(quality) AS vtype FROM labels".replace("typeof(quality)", "'int'"))
+def blinded_state(spark, sf_dir):
+    facts = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("name"), "quality", F.typeof("quality").alias("vtype"))
+    return logic.blinded(facts)
+
+
+@query("SELECT doc_id AS doc, count(*) AS copies FROM documents GROUP BY doc_id")
+def deduplicated_documents(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return Q.deduplicated(docs.unionAll(docs)).groupBy("doc").agg(F.count(F.lit(1)).alias("copies"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

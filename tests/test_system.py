@@ -100,3 +100,18 @@ def test_rows_are_environments(spark):
     s = System(spark, rows=rows).load("(defterm profit (- sales cost)) (axiom good (= (good ?x) (> ?x 0)) :origin \"o\")")
     got = {r.id: (r.p, r.g) for r in s.select({"p": "(+ 0 profit)", "g": "(good profit)"}, keep=("id",)).collect()}
     assert got == {1: (7.0, True), 2: (-4.0, False)}
+
+
+def test_programs_survive_json(system, spark):
+    from gneiss.sources import codec
+
+    entries, diffs = codec.program_of(codec.program_table(spark, system.entries, system.diffs))
+    assert (entries, diffs) == (system.entries, system.diffs)
+    again = System(spark, documents=system.documents, entries=entries, diffs=diffs)
+    assert again.evaluate("(sum-all revenue margin)") == 37
+
+
+def test_depths_settle(spark):
+    edges = spark.createDataFrame([("f", "a"), ("f", "b"), ("g", "b"), ("b", "c")], "src string, dst string")
+    nodes = spark.createDataFrame([("f", "fact", ""), ("g", "fact", ""), ("a", "calc", ""), ("b", "calc", ""), ("c", "calc", "")], "name string, kind string, value string")
+    assert {r.name: r.depth for r in G.settled_depths(nodes, edges).collect()} == {"f": 0, "g": 0, "a": 1, "b": 2, "c": 3}
