@@ -28,7 +28,7 @@ linked; an empty table gives an empty result; other columns are ignored; a text
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +37,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from .chunks import text_slices
-from .common import free_shuffles, small_batches, stored
+from .common import discard, free_shuffles, small_batches, stored
+from .shards import group_sums
 
 SHINGLE = 5
 PERCENT = 80
 NO_ID = -(1 << 63)
 SEEN = 1 << 20
+BLOCK_BYTES = 1 << 20
 U = np.uint64
 
 # A row's tag: band below or own (bit 0), kind (bits 1-2), rich segment (bits 3-7), slack (above).
@@ -93,11 +95,6 @@ def digest(shingles: np.ndarray) -> tuple[int, int]:
     return int(mix(np.array([a + U(len(shingles))]))[0].astype(np.int64)), int(mix(np.array([b]))[0].astype(np.int64))
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both > 0 and 100 * both >= PERCENT * (len(a) + len(b) - both)
-
-
 def most_differences(a: int, b: int) -> int:
     """The greatest symmetric difference with which sets of these sizes are still similar."""
     return (a + b) * (100 - PERCENT) // (100 + PERCENT)
@@ -262,37 +259,86 @@ def shared_units(rows: DataFrame) -> DataFrame:
     )
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs (a, b) of documents whose texts (id, text) are similar."""
-    side = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
+def similar_of(pairs: list[tuple[int, int]], sets: dict[int, np.ndarray]) -> list[bool]:
+    """Which pairs are similar. The partners of a set are counted together, by looks into one marked array."""
+    names = list(sets)
+    size = {n: len(sets[n]) for n in names}
+    _, codes = np.unique(np.concatenate([sets[n] for n in names]), return_inverse=True)
+    ends = np.cumsum([size[n] for n in names])
+    coded = dict(zip(names, np.split(codes, ends[:-1]), strict=True))
+    marks = np.zeros(len(codes), np.int64)
+    order = sorted(range(len(pairs)), key=lambda i: pairs[i])
+    out = [False] * len(pairs)
+    for a, same in groupby(order, key=lambda i: pairs[i][0]):
+        mine = [i for i in same if size[pairs[i][1]]]
+        if not mine or not size[a]:
+            continue
+        marks[coded[a]] = 1
+        partners = [coded[pairs[i][1]] for i in mine]
+        starts = np.cumsum([0] + [len(p) for p in partners[:-1]])
+        both = np.add.reduceat(marks[np.concatenate(partners)], starts)
+        marks[coded[a]] = 0
+        for i, n in zip(mine, both.tolist(), strict=True):
+            out[i] = 100 * n >= PERCENT * (size[a] + size[pairs[i][1]] - n)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            a_ids, b_ids, out = b.column(0).to_pylist(), b.column(1).to_pylist(), []
-            for at in range(0, b.num_rows, 64):
-                one, two = b.column(2).slice(at, 64).to_pylist(), b.column(3).slice(at, 64).to_pylist()
-                own = list(dict.fromkeys(one))  # the first document of a group comes again and again
-                sets = dict(zip(own, shingle_sets(own), strict=True))
-                out += [at + i for i, other in enumerate(shingle_sets(two)) if similar(sets[one[i]], other)]
-            yield pa.RecordBatch.from_arrays([pa.array([a_ids[i] for i in out], pa.int64()), pa.array([b_ids[i] for i in out], pa.int64())], names=["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs (a, b) of documents whose texts (id, text) are similar.
+
+    Documents are laid out so that those with the same smallest partner lie together, and cut into blocks of
+    BLOCK_BYTES of text. A pair goes to the task of its two blocks, and a text goes once to each two blocks in
+    which it has a pair: a group of near copies sends its texts a few times, not once for each pair. A task holds
+    the texts of two blocks at most."""
+    near = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    label = near.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("label"))
+    sizes = texts.groupBy("id").agg(F.sum(F.octet_length("text") + 64).cast("long").alias("size"))
+    at = F.format_string("%020d.%020d", "label", "id")
+    laid = group_sums(label.join(sizes, "id").select(at.alias("key"), "size"))
+    id_of = F.element_at(F.split("key", r"\."), 2).cast("long")
+    blocks = stored(laid.select(id_of.alias("id"), F.expr(f"total div {BLOCK_BYTES}L").alias("block")), "jaccard-blocks")
+    placed = (
+        pairs.join(blocks.select(F.col("id").alias("a"), F.col("block").alias("block_a")), "a")
+        .join(blocks.select(F.col("id").alias("b"), F.col("block").alias("block_b")), "b")
+        .select("block_a", "block_b", "a", "b")
+    )
+    placed = stored(placed, "jaccard-placed")
+    ends = placed.select(F.col("block_a").alias("first"), F.col("block_b").alias("second"), F.explode(F.array("a", "b")).alias("id"))
+    there = ends.distinct().join(texts.select("id", "text"), "id")
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        ids = held.column("id").to_pylist()
+        sets: dict[int, list[np.ndarray]] = {}
+        for i, s in zip(ids, shingle_sets(held.column("text").to_pylist()), strict=True):
+            sets.setdefault(i, []).append(s)
+        wanted = list(zip(asked.column("a").to_pylist(), asked.column("b").to_pylist(), strict=True))
+        # A doc_id with several texts counts with each of them.
+        each = {(i, k): s for i, many in sets.items() for k, s in enumerate(many)}
+        flat = [(n, (a, j), (b, k)) for n, (a, b) in enumerate(wanted) for j in range(len(sets[a])) for k in range(len(sets[b]))]
+        number = {name: i for i, name in enumerate(each)}
+        found = similar_of([(number[x], number[y]) for _, x, y in flat], {number[name]: s for name, s in each.items()})
+        good = sorted({n for (n, _, _), ok in zip(flat, found, strict=True) if ok})
+        return pa.table({"a": pa.array([wanted[n][0] for n in good], pa.int64()), "b": pa.array([wanted[n][1] for n in good], pa.int64())})
+
+    return placed.groupBy("block_a", "block_b").cogroup(there.groupBy("first", "second")).applyInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
     """links (a, b) -> node, component (its smallest node), by least labels and pointer jumping. Every step is
     written to the shared folder."""
     edges = stored(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = stored(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    first = F.least(F.min("b"), F.first("a")).alias("component")
+    labels = stored(edges.groupBy(F.col("a").alias("node")).agg(first).withColumn("was", F.lit(None).cast("long")), "labels")
     while True:
-        near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
+        near = edges.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("near"))
         lower = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("component").alias("was"), F.least("component", "near").alias("next"))
         lower = stored(lower, "labels")
         above = lower.select(F.col("node").alias("next"), F.col("next").alias("component"))
         step = stored(lower.join(above, "next").select("node", "component", "was"), "labels")
-        labels = step.select("node", "component")
+        discard(labels, lower)
+        labels = step
         if step.where(F.col("component") != F.col("was")).isEmpty():
+            discard(edges)
             return labels
 
 
@@ -327,8 +373,10 @@ def _once(docs: DataFrame, seed: int) -> DataFrame:
     across = open_.where("probes").join(others, "key").where(F.col("component") != F.col("other")).select("key", F.col("h").alias("a_h"), "other")
     members_of = open_.where("indexes").select("key", F.col("component").alias("other"), F.col("h").alias("b_h"))
     second = pairs(across.join(members_of, ["key", "other"]).select("a_h", "b_h")).join(first, ["a", "b"], "left_anti")
-    more = stored(verified(stored(second, "jaccard-pairs"), texts), "jaccard-links")
+    second = stored(second, "jaccard-pairs")
+    more = stored(verified(second, texts), "jaccard-links")
     final = components(links.unionByName(more)) if not more.isEmpty() else labels
+    discard(units, first, texts, links, members, open_, second, more)
     # Classes, then components: a class belongs to its document's, and a document to all its classes'.
     result = (
         rows.join(classes.select("h1", "h2", "doc"), ["h1", "h2"], "left")
