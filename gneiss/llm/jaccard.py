@@ -363,16 +363,22 @@ def _once(docs: DataFrame, seed: int) -> DataFrame:
     wanted = first.select("a").union(first.select("b")).union(many.join(of("a"), F.col("h1") == F.col("a_h")).select("a")).distinct()
     texts = stored(docs.join(wanted.withColumnRenamed("a", "id"), "id", "left_semi").dropDuplicates(["id", "text"]), "jaccard-texts")
     links = stored(verified(first, texts), "jaccard-links")
-    # Where a unit still joins different components, its other members are compared across them.
+    # Where a unit still joins different components, its other members are compared across them. The units of
+    # the larger set of a pair, or of either of two equal ones, find it: one direction is enough.
     labels = components(links)
     named = many.join(of("a"), F.col("h1") == F.col("a_h")).join(labels, F.col("a") == F.col("node"), "left")
-    members = stored(named.select("key", F.col("h1").alias("h"), F.coalesce("component", "a").alias("component"), "probes", "indexes"), "jaccard-members")
+    members = stored(named.select("key", F.col("h1").alias("h"), F.coalesce("component", "a").alias("component"), F.col("n_a").alias("n"), "probes", "indexes"), "jaccard-members")
     mixed = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
     open_ = stored(members.join(mixed, "key", "left_semi"), "jaccard-open")
-    others = open_.where("indexes").select("key", F.col("component").alias("other")).distinct()
-    across = open_.where("probes").join(others, "key").where(F.col("component") != F.col("other")).select("key", F.col("h").alias("a_h"), "other")
-    members_of = open_.where("indexes").select("key", F.col("component").alias("other"), F.col("h").alias("b_h"))
-    second = pairs(across.join(members_of, ["key", "other"]).select("a_h", "b_h")).join(first, ["a", "b"], "left_anti")
+    index = open_.where("indexes").select("key", F.col("component").alias("other"), F.col("h").alias("b_h"), F.col("n").alias("n_b"))
+    others = index.groupBy("key", "other").agg(F.min("n_b").alias("least"), F.max("n_b").alias("most"))
+    reaches = (100 * F.col("most") >= PERCENT * F.col("n")) & (F.col("least") <= F.col("n"))
+    probing = open_.where("probes").select("key", "component", F.col("h").alias("a_h"), "n")
+    across = probing.join(others, "key").where((F.col("component") != F.col("other")) & reaches).select("key", "a_h", "n", "other")
+    smaller = (F.col("n_b") < F.col("n")) | ((F.col("n_b") == F.col("n")) & (F.col("b_h") < F.col("a_h")))
+    fits = (100 * F.col("n_b") >= PERCENT * F.col("n")) & smaller
+    members_of = across.join(index, ["key", "other"]).where(fits).select("a_h", "b_h")
+    second = pairs(members_of).join(first, ["a", "b"], "left_anti")
     second = stored(second, "jaccard-pairs")
     more = stored(verified(second, texts), "jaccard-links")
     final = components(links.unionByName(more)) if not more.isEmpty() else labels
