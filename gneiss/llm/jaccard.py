@@ -44,7 +44,7 @@ SHINGLE = 5
 PERCENT = 80
 NO_ID = -(1 << 63)
 SEEN = 1 << 20
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 U = np.uint64
 
 # A row's tag: band below or own (bit 0), kind (bits 1-2), rich segment (bits 3-7), slack (above).
@@ -303,8 +303,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         .select("block_a", "block_b", "a", "b")
     )
     placed = stored(placed, "jaccard-placed")
-    ends = placed.select(F.col("block_a").alias("first"), F.col("block_b").alias("second"), F.explode(F.array("a", "b")).alias("id"))
-    there = ends.distinct().join(texts.select("id", "text"), "id")
+    end = lambda c: placed.select(F.col("block_a").alias("first"), F.col("block_b").alias("second"), F.col(c).alias("id")).distinct()
+    there = end("a").unionByName(end("b")).distinct().join(texts.select("id", "text"), "id")
 
     def run(asked: pa.Table, held: pa.Table) -> pa.Table:
         ids = held.column("id").to_pylist()
