@@ -9,9 +9,10 @@ squares that the codes give. The codebooks are fitted on a bounded, stated sampl
 smallest hashes of their id); every vector is encoded and indexed.
 
 A search goes through the codes of all vectors: two four-bit codes make one byte, so each query has one
-table of 256 sums for each two subspaces. The `rerank` best of a block by these sums are scored exactly, in
-double precision, on the original vectors; each task passes on the k best of each query, and the last step
-ranks those. Queries are taken in chunks of a bounded number, each of which is broadcast; the search is the
+table of 256 sums for each two subspaces. The vectors of the `rerank` codes of a block that are best by these
+sums, and of all that tie with the last, are scored exactly, in double precision, on the original vectors; so a
+group of copies is scored as a whole and takes one place. Each task passes on the k best of each query, and the
+last step ranks those. Queries are taken in chunks of a bounded number, each of which is broadcast; the search is the
 stated query set against all rows, in blocks, and never a join of all pairs.
 
 Results for odd input: vectors that are null, empty, zero, of another dimension than most of the sample, or
@@ -173,12 +174,15 @@ def _search_blocks(q: Quantiser, ids: np.ndarray, queries: np.ndarray, k: int, r
         def look(block: pa.Table) -> None:
             x, _ = _dense(block.column("vector").combine_chunks(), q.dimension)
             vec = block.column("vec_id").to_numpy()
-            codes = np.ascontiguousarray(np.frombuffer(b"".join(block.column("code").to_pylist()), np.uint8).reshape(len(vec), -1).T)
+            codes, kind = np.unique(np.frombuffer(b"".join(block.column("code").to_pylist()), np.uint8).reshape(len(vec), -1), axis=0, return_inverse=True)
+            codes, kind = np.ascontiguousarray(codes.T), kind.ravel()
             for i in range(len(ids)):
                 rough = tables[i, 0][codes[0]]
                 for m in range(1, len(codes)):
                     rough = rough + tables[i, m][codes[m]]
-                near = np.argpartition(-rough, rerank)[:rerank] if rerank < len(vec) else np.arange(len(vec))
+                # The cut is between codes: all vectors of a code, and all codes that tie at the cut, stay together.
+                cut = -np.partition(-rough, rerank - 1)[rerank - 1] if rerank < len(rough) else -np.inf
+                near = np.flatnonzero((rough >= cut)[kind])
                 near = near[vec[near] != ids[i]]
                 exact = (x[near] * queries[i]).sum(1)
                 all_ids, all_scores = np.concatenate([best_ids[i], vec[near]]), np.concatenate([best[i], exact])
@@ -209,7 +213,7 @@ def _search_blocks(q: Quantiser, ids: np.ndarray, queries: np.ndarray, k: int, r
 
 def search(index: DataFrame, q: Quantiser, queries: DataFrame, k: int = 20, rerank: int = 200) -> DataFrame:
     """The k nearest found of each query (vec_id, vector) but itself: query_id, rank, vec_id, score.
-    rerank: candidates scored exactly for each query in each block of ROWS_AT_ONCE vectors."""
+    rerank: distinct codes whose vectors are scored exactly for each query in each block of ROWS_AT_ONCE vectors."""
     found = None
     columns = "query_id long, vec_id long, score double"
     chunks = queries.select("vec_id", "vector").toLocalIterator(prefetchPartitions=True)

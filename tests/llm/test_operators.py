@@ -338,6 +338,24 @@ def test_ties_go_to_smaller_ids(spark):
     assert [r.vec_id for r in sorted(got, key=lambda r: r.rank)] == list(range(20))
 
 
+def test_many_copies_are_ranked_as_a_whole(spark):
+    """More copies than `rerank` in each of several blocks, in descending order of their ids."""
+    rng = np.random.default_rng(3)
+    n = 3 * anisotropic.ROWS_AT_ONCE
+    x = rng.normal(size=(n, 8)).astype(np.float32)
+    copies = np.flatnonzero(np.arange(n) % 3 == 0)
+    x[copies] = 4.0
+    rows = [(i, [float(v) for v in x[i]]) for i in reversed(range(n))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    found = anisotropic.nearest(df, every=1020).where("query_id % 3 = 0").collect()
+    per = {}
+    for r in sorted(found, key=lambda r: r.rank):
+        per.setdefault(r.query_id, []).append(r.vec_id)
+    assert set(per) == set(range(0, n, 1020))
+    for q, ids in per.items():
+        assert ids == [i for i in copies[:21].tolist() if i != q][:20]
+
+
 def test_parallel_errors_weigh_more():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(2000, 16))
