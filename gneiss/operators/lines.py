@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gneiss.functions.normalize import Config, normalized
 
+from .quotes import normalized_with_places
+
 #: A posting: one matched line. Operators keep these columns; ord carries the order that `limit` sees.
 POSTING = ["doc", "line", "column", "context", "callers", "total_callers", "ord"]
 CALLERS = "array<struct<name:string,overlap:double>>"
@@ -52,7 +56,8 @@ def occurrences(docs: DataFrame, phrase: str, doc: str = "doc", text: str = "tex
 
 
 def phrase_lines(docs: DataFrame, phrase: str, doc: str = "doc", text: str = "text", ignore_case: bool = True) -> DataFrame:
-    """S2 at line level: lines that hold a phrase, with the column of its first place."""
+    """Lines that hold a phrase literally within the line, with the column of its first place. Less than S2: see
+    normal_phrase_lines."""
     rows = lines_of(docs, doc, text)
     hay = F.lower("context") if ignore_case else F.col("context")
     needle = phrase.lower() if ignore_case else phrase
@@ -60,6 +65,42 @@ def phrase_lines(docs: DataFrame, phrase: str, doc: str = "doc", text: str = "te
     return as_posting(rows.where(at > 0), at)
 
 
+def _letters(c: Column) -> Column:
+    """The ASCII letters in lower case, with the one other character (the Kelvin sign) whose lower case is one."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.regexp_replace(F.translate(c, upper + "\u212a", upper.lower() + "k"), "[^a-z]", "")
+
+
+def normal_phrase_lines(docs: DataFrame, phrase: str, doc: str = "doc", text: str = "text") -> DataFrame:
+    """The normalised phrase in the normalised document, over punctuation, white space, hyphenation and line
+    ends; each hit counts for the line where it begins, with the column of the first one there. Normalisation
+    leaves the order of letters as it is, so only documents that hold the letters of the phrase are looked at."""
+    wanted = normalized_with_places(phrase)[0]
+    rows = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).where(F.col("text").isNotNull() & F.lit(wanted != ""))
+    rows = rows.where(F.contains(_letters(F.col("text")), _letters(F.lit(wanted))))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for name, t in zip(b["doc"], b["text"], strict=True):
+                norm, at, _ = normalized_with_places(t)
+                line, seen, last = 1, 0, 0
+                hit = norm.find(wanted)
+                while hit >= 0:
+                    place = at[hit]
+                    line, seen = line + t.count("\n", seen, place), place
+                    if line > last:
+                        begin, end = t.rfind("\n", 0, place) + 1, t.find("\n", place)
+                        out.append((name, line, place - begin + 1, t[begin : end if end >= 0 else len(t)]))
+                        last = line
+                    hit = norm.find(wanted, hit + 1)
+            yield pd.DataFrame(out, columns=["doc", "line", "column", "context"])
+
+    kind = rows.schema["doc"].dataType.simpleString()
+    found = rows.mapInPandas(run, f"doc {kind}, line long, column int, context string")
+    return as_posting(found, F.col("column"))
+
+
 def word_postings(docs: DataFrame, doc: str = "doc", text: str = "text", config: Config = Config()) -> DataFrame:
     """S3: the inverted index: (doc, word, pos) of every token of the normalised text."""
     tokens = F.split(normalized(F.col(text), config), " ")

@@ -175,7 +175,7 @@ def rank_line_page(spark, sf_dir):
 
 @query(f"WITH {THE}, near AS (SELECT * FROM a WHERE EXISTS (SELECT 1 FROM b WHERE b.doc = a.doc AND abs(b.line - a.line) <= 3)) SELECT count(*) AS n FROM near WHERE CAST(doc AS VARCHAR) LIKE '%1%'")
 def search_text(spark, sf_dir):
-    return Search(_docs(spark, sf_dir)).query('(count (in "*1*" (near "ing and" "tion" 3))')
+    return Search(_docs(spark, sf_dir), literal=True).query('(count (in "*1*" (near "ing and" "tion" 3))')
 
 
 TOKENS = r"""tokens AS (SELECT doc, unnest(w) AS word, CAST(unnest(generate_series(0, len(w) - 1)) AS BIGINT) AS pos FROM

@@ -18,15 +18,17 @@ from .sexpr import parse, repaired
 @dataclass
 class Search:
     """docs (doc, text); callers (doc, line, name, overlap), if quotes are known; scopes: other systems by
-    name, each a function from an expression to a DataFrame (S18, U10)."""
+    name, each a function from an expression to a DataFrame (S18, U10). A phrase is looked for in the normalised
+    text (S2), or with `literal` only as it stands within a line."""
 
     docs: DataFrame
     callers: DataFrame | None = None
     scopes: dict[str, Callable[[Any], DataFrame]] = field(default_factory=dict)
+    literal: bool = False
 
     def posting(self, expr: Any) -> DataFrame:
         if not isinstance(expr, tuple):
-            found = L.phrase_lines(self.docs, str(expr))
+            found = (L.phrase_lines if self.literal else L.normal_phrase_lines)(self.docs, str(expr))
             return S.with_callers(found, self.callers) if self.callers is not None else found
         head, args = str(expr[0]), list(expr[1:])
         if head == "scope":

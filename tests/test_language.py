@@ -112,3 +112,25 @@ def test_search_operators(spark):
     assert keys("alpha", max_lines=2, offset=2) == [("src/a.py", 2), ("src/b.py", 5)]
     assert s.posting("alpha").where("doc = 'c.md'").first().total_callers == 1
     assert s.query('(results "gamma")').select(F.col("form.tag")).first()[0] == "sr"
+
+
+def test_phrases_are_found_in_the_normalised_text(spark):
+    text = "Zero.\nHe was going, and\nsing\n  and it was well-\nknown; SING (and) more sing and.\nsing land\ning\x1cand aning and"
+    docs = spark.createDataFrame([(1, text), (2, "ing\n2. and"), (3, None), (4, ""), (5, "İng and \u212aing's")], "doc long, text string")
+    s = Search(docs)
+
+    def found(phrase):
+        return sorted((r.doc, r.line, r.column, r.context) for r in s.posting(phrase).collect())
+
+    assert found("Ing, AND") == [
+        (1, 2, 10, "He was going, and"),
+        (1, 3, 2, "sing"),
+        (1, 5, 9, "known; SING (and) more sing and."),
+        (1, 7, 1, "ing\x1cand aning and"),
+        (2, 1, 1, "ing"),
+    ]
+    assert found("wellknown sing") == [(1, 4, 14, "  and it was well-")]
+    assert found("king") == [(5, 1, 9, "İng and \u212aing's")]
+    assert found("?!") == [] and found("") == []
+    assert s.query('(count (and "going and" "was going"))').first().n == 1
+    assert sorted((r.doc, r.line) for r in Search(docs, literal=True).posting("ing and").collect()) == [(1, 5), (1, 7)]
