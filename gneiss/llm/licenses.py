@@ -4,7 +4,8 @@ A text is cut into sentences (at marks that end one, and at line ends; a known s
 several lines). Each is normalised to words in lower case and looked up among known licence sentences, which
 gives it an identifier. The sequence of identifiers, in which any other sentence leaves a break, is then
 matched against rules in their order: a rule is a sequence of identifiers that must stand side by side; what
-a rule has matched is used up for later rules. Copyright lines neither count nor break.
+a rule has matched is used up for later rules. Copyright lines and list markers neither count nor break, and a
+sentence is also known behind a list marker, as the clauses of BSD licences are.
 
 Texts without any word that all known sentences share one of (ANCHORS, checked when the module loads) hold no
 known sentence and are not cut. The scan works document by document, without a shuffle.
@@ -91,6 +92,8 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 )
 ANCHORS = ("license", "permission", "redistribut", "copyright", "liable", "software", "warrant", "cc by")
 BREAKS = re.compile(r"[^a-z0-9]+")
+#: What stands before a clause of a list: 1. 12) (3) a. b) (iv) and the like, with marks of a comment before it.
+MARKER = re.compile(r"[^\w(\[]*[(\[]?(?:\d{1,3}|[a-z]|[ivx]{1,4})[.):\]]+\s*", re.IGNORECASE)
 
 
 def normal(sentence: str) -> str:
@@ -114,6 +117,19 @@ def sentences(text: str) -> Iterator[tuple[int, int, str]]:
         at = m.end()
 
 
+def known_at(pieces: list[tuple[int, int, str]], i: int, words: str) -> tuple[int, str] | None:
+    """(last piece, identifier) of the longest known sentence from piece i, whose words are given."""
+    best, j = None, i
+    while words in BEGINNINGS:
+        if words in KNOWN:
+            best = (j, KNOWN[words])
+        j += 1
+        if j == len(pieces):
+            break
+        words = f"{words} {pieces[j][2]}"
+    return best
+
+
 def recognised(text: str) -> list[tuple[int, int, str | None]]:
     """(start, end, identifier) in order; None marks a break. A known sentence may cover several pieces."""
     pieces = list(sentences(text))
@@ -121,19 +137,15 @@ def recognised(text: str) -> list[tuple[int, int, str | None]]:
     i = 0
     while i < len(pieces):
         start, end, words = pieces[i]
-        best, j = None, i
-        so_far = words
-        while so_far in BEGINNINGS:
-            if so_far in KNOWN:
-                best = (j, KNOWN[so_far])
-            j += 1
-            if j == len(pieces):
-                break
-            so_far = f"{so_far} {pieces[j][2]}"
+        best = known_at(pieces, i, words)
+        if not best and (marker := MARKER.match(text, start, end)):
+            words = normal(text[marker.end() : end])
+            if best := known_at(pieces, i, words):
+                start = marker.end()
         if best:
             i, name = best
             out.append((start, pieces[i][1], name))
-        elif not words.startswith("copyright "):
+        elif words and not words.startswith("copyright "):
             if not out or out[-1][2] is not None:
                 out.append((start, end, None))
         i += 1

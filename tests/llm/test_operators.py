@@ -184,6 +184,109 @@ def test_licenses(spark, docs, pairs):
     assert licenses.scan_licenses(empty(spark)).count() == 0
 
 
+BSD_BEGINS = """Copyright (c) 2020, Bob
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+"""
+BSD_CLAUSES = (
+    "Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n",
+    "Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n\n",
+    "Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n\n",
+)
+BSD_ENDS = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES.
+"""
+HOPE = """
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program"""
+PUBLISHED = {
+    "MIT": """MIT License
+
+Copyright (c) 2020 Bob
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+""",
+    "Apache-2.0": """Copyright 2020 Bob
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+""" + HOPE + ".  If not, see <https://www.gnu.org/licenses/>.",
+    "GPL-2.0-or-later": """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+""" + HOPE + "; if not, write to the Free Software Foundation.",
+    "BSD-3-Clause": BSD_BEGINS + "".join(f"{i}. {c}" for i, c in enumerate(BSD_CLAUSES, 1)) + BSD_ENDS,
+    "BSD-2-Clause": BSD_BEGINS + "".join(f"{i}. {c}" for i, c in enumerate(BSD_CLAUSES[:2], 1)) + BSD_ENDS,
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+""",
+    "GPL-3.0": "This work is licensed under the GNU General Public License, version\n3. More.",
+    "CC-BY-NC-4.0": "This work is licensed under CC BY-NC 4.0.",
+    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC0-1.0": "This work is dedicated to the public domain under the CC0 1.0 license.",
+}
+
+
+def test_published_texts_of_the_licenses():
+    assert set(PUBLISHED) == {name for name, _ in licenses.RULES}
+    for name, text in PUBLISHED.items():
+        for form in (text, "/*\n" + "".join(f" * {line}\n" for line in text.split("\n")) + " */"):
+            assert licenses.scan_text(form)[1] == name, form
+    start, end = map(int, licenses.scan_text(PUBLISHED["BSD-3-Clause"])[2].split(":"))
+    assert PUBLISHED["BSD-3-Clause"][start:end].startswith("Redistribution and use") and PUBLISHED["BSD-3-Clause"][start:end].endswith("DISCLAIMED.")
+
+
+def test_list_markers_neither_count_nor_break():
+    for marks in (("1) ", "2) ", "3) "), ("(1) ", "(2) ", "(3) "), ("a. ", "b. ", "c. "), ("(i)\n", "(ii)\n", "(iii)\n"), ("1.", "2.", "3."), ("* ", "* ", "* "), ("", "", "")):
+        assert licenses.scan_text(BSD_BEGINS + "".join(m + c for m, c in zip(marks, BSD_CLAUSES)) + BSD_ENDS)[1] == "BSD-3-Clause", marks
+    assert licenses.scan_text(BSD_BEGINS + f"1. {BSD_CLAUSES[0]}2. Something else.\n3. {BSD_CLAUSES[1]}" + BSD_ENDS)[1] == ""
+    assert licenses.scan_text("2. MIT License\n")[1:] == ("MIT", "3:14")
+    assert licenses.scan_text("a MIT License\n")[1] == ""
+
+
 # --- 5 ---
 
 
