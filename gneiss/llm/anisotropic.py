@@ -17,7 +17,8 @@ stated query set against all rows, in blocks, and never a join of all pairs.
 
 Results for odd input: vectors that are null, empty, zero, of another dimension than most of the sample, or
 that hold a null or a component that isn't finite take no part; equal vectors tie and rank by vec_id, repeated
-rows of one vec_id are one vector of the index each; an empty table gives no rows.
+rows of one vec_id are one vector of the index each, and one query with k neighbours of its own each; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -162,8 +163,9 @@ def build_index(vectors: DataFrame) -> tuple[DataFrame, Quantiser | None]:
     return stored(vectors.mapInArrow(run, "vec_id long, vector array<float>, code binary"), "vector-index"), q
 
 
-def _search_blocks(q: Quantiser, ids: np.ndarray, queries: np.ndarray, k: int, rerank: int):
-    """A task's search: keeps, for each query, the k best of what it has seen."""
+def _search_blocks(q: Quantiser, first: int, ids: np.ndarray, queries: np.ndarray, k: int, rerank: int):
+    """A task's search: keeps, for each query, the k best of what it has seen. Queries are numbered from `first`,
+    as several may have one id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = q.tables(queries)
@@ -205,7 +207,8 @@ def _search_blocks(q: Quantiser, ids: np.ndarray, queries: np.ndarray, k: int, r
             look(block)
         found = np.isfinite(best)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(ids, k)[found.ravel()]), pa.array(best_ids[found]), pa.array(best[found])], names=["query_id", "vec_id", "score"]
+            [pa.array(np.repeat(x, k)[found.ravel()]) for x in (np.arange(first, first + len(ids)), ids)] + [pa.array(best_ids[found]), pa.array(best[found])],
+            names=["query", "query_id", "vec_id", "score"],
         )
 
     return run
@@ -215,14 +218,14 @@ def search(index: DataFrame, q: Quantiser, queries: DataFrame, k: int = 20, rera
     """The k nearest found of each query (vec_id, vector) but itself: query_id, rank, vec_id, score.
     rerank: distinct codes whose vectors are scored exactly for each query in each block of ROWS_AT_ONCE vectors."""
     found = None
-    columns = "query_id long, vec_id long, score double"
+    columns = "query long, query_id long, vec_id long, score double"
     chunks = queries.select("vec_id", "vector").toLocalIterator(prefetchPartitions=True)
     chunk: list = []
 
     def of(rows: list) -> DataFrame:
         own = np.array([r.vec_id for r in rows], np.int64)
         x = np.array([r.vector for r in rows], np.float64)
-        return index.select("vec_id", "vector", "code").mapInArrow(_search_blocks(q, own, x, k, rerank), columns)
+        return index.select("vec_id", "vector", "code").mapInArrow(_search_blocks(q, QUERY_CHUNK * len(parts), own, x, k, rerank), columns)
 
     parts: list[DataFrame] = []
     for row in chunks:
@@ -238,7 +241,7 @@ def search(index: DataFrame, q: Quantiser, queries: DataFrame, k: int = 20, rera
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

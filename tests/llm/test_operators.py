@@ -459,6 +459,23 @@ def test_many_copies_are_ranked_as_a_whole(spark):
         assert ids == [i for i in copies[:21].tolist() if i != q][:20]
 
 
+def test_repeated_query_rows_keep_their_neighbours(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 4)).astype(np.float32)
+    rows = [(i, [float(v) for v in x[i]]) for i in range(60)]
+    df = spark.createDataFrame([*rows, rows[20], (40, [1.0, 2.0, 3.0, 4.0]), rows[7]], "vec_id long, embedding array<float>")
+    wide = {i: [x[i].astype(np.float64)] for i in range(60)}
+    wide[20], wide[40], wide[7] = wide[20] * 2, [*wide[40], np.array([1.0, 2.0, 3.0, 4.0])], wide[7] * 2
+    want = Counter()
+    for q in (0, 20, 40):
+        for v in wide[q]:
+            near = sorted((-round(float(v @ w), 6), i) for i, all_of in wide.items() if i != q for w in all_of)[:20]
+            want.update((q, rank, i, -s) for rank, (s, i) in enumerate(near, 1))
+    for size in (4096, 2):  # repeated rows in one chunk, and over several
+        monkeypatch.setattr(anisotropic, "QUERY_CHUNK", size)
+        assert Counter((r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in anisotropic.nearest(df).collect()) == want
+
+
 def test_parallel_errors_weigh_more():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(2000, 16))
