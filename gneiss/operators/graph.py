@@ -1,4 +1,4 @@
-"""Provenance graphs (G1-G39): closures, depth, layers, health tables, comparison of several graphs.
+"""Provenance graphs (G1-G39 but G16, G26, G35 and G37): closures, depth, layers, health tables, comparison of several graphs.
 
 nodes (name, kind, value), edges (src, dst): src is an input of dst. Closures go frontier by frontier: each
 round joins only the nodes found last, drops those already seen, and writes its result to the shared folder, so

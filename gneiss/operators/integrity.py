@@ -1,4 +1,4 @@
-"""Hash chains and Merkle trees (H1-H9)."""
+"""Hash chains and Merkle trees (H1-H8; of H9 duplicates and order only)."""
 
 from __future__ import annotations
 

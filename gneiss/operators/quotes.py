@@ -50,7 +50,8 @@ def verify_named(docs: DataFrame, quotes: DataFrame, config: N.Config = N.Config
 
 
 def find_everywhere(docs: DataFrame, quotes: DataFrame, config: N.Config = N.Config()) -> DataFrame:
-    """(doc, item, norm, q, text, quote) of quotes (item, quote) that stand in a document at token boundaries.
+    """(doc, item, norm, q, text, quote) of quotes (item, quote) that stand in a document at token boundaries: the
+    exact half of V9. Quotes that match only when spaces are left out are not found.
 
     Each quote is keyed by its rarest word; documents send one row for each distinct word that keys a quote."""
     have = prepared(docs, config=config)
