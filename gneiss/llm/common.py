@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
@@ -60,9 +63,24 @@ def input_partitions(df: DataFrame, target_bytes: int) -> int:
     return max(floor, min(size // target_bytes + 1, 200_000))
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Keep Arrow batches of whole texts small, so that a Python worker's memory is bounded."""
+def small_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
+    """Keep Arrow batches of whole texts small, so that a Python worker's memory is bounded. It holds for the
+    session: plans that an operator returns run only later."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """df (stored, of a few longs a row), marked for a broadcast join if it is counted to have so few rows; else Spark
+    joins by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def release_memory() -> None:
+    """Give back what Arrow and the C library hold but don't use: a worker process waits for its next task for long."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def partition_bases(counts: DataFrame, key: str, value: str) -> DataFrame:

@@ -13,22 +13,32 @@ slack: it may leave out as many of its most expensive units, by the number of do
 unit that no other document shares costs nothing. So passages that thousands of documents share are left out
 where cheaper units do the work, and a document whose every unit is its own is done.
 
-Groups of copies never become pairs. Equal sets are one class from the start. For each shared unit, only the
-first and the last class that index it are compared with the prober; links found that way make components.
-Only where a unit still joins different components are the other members compared, and only across
-components. Every candidate is verified on the whole texts' shingle sets, held as 64-bit fingerprints.
-
-Hash collisions can't lose a link (they only add candidates); classes are told apart by 128 bits.
+Candidates are never listed as all pairs of a group. Equal sets are one class from the start. First each class is
+compared with the first and the last class that index a unit it relies on; links found that way make
+components. Units that still join different components are then compared by cells: classes are laid out in
+blocks, related ones together, and a cell holds the classes of two blocks between which some unit runs. Each
+unit is told by the set of blocks it touches, so that the many units of one group of near copies count once.
+
+What travels to a cell is a parity sketch: a bit for each of 2^k buckets, the parity of the shingles hashed there.
+Sketches of two sets differ in no more bits than the sets differ in shingles, so whoever differs in more than H
+bits is no partner, for certain. A cell names at most `limit` pairs of any two components, those with the closest
+sketches, and says if it left some out; named pairs are verified on whole texts, components are joined, and as
+long as something was left out between components that are still apart, a further pass names sixteen times as
+many. So no link is lost, and pairs inside a component are never named.
+
+Shingles and classes are held as 64-bit fingerprints: two different texts with equal fingerprints of their sets
+(some three pairs among 10^10 texts) would count as copies. Otherwise collisions only add candidates.
 
 Results for odd input: null or empty text, and text of white space, has an empty set and links with nothing;
-rows with equal doc_id are one document with all their texts; a null doc_id gets a null component unless
-linked; an empty table gives an empty result; other columns are ignored; a text of any length is used whole.
+each row is a document of its own, also where doc_ids repeat; a row with null doc_id takes part, but its
+id is never the smallest of a component; an empty table gives an empty result; other columns are ignored; a
+text of any length is used whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain, groupby
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +47,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from .chunks import text_slices
-from .common import discard, free_shuffles, small_batches, stored
+from .common import broadcast_if_small, discard, free_shuffles, release_memory, small_batches, stored
 from .shards import group_sums
 
 SHINGLE = 5
 PERCENT = 80
 NO_ID = -(1 << 63)
+LAST_ID = (1 << 63) - 1
 SEEN = 1 << 20
-BLOCK_BYTES = 1 << 20
+SLICE_BYTES = 4 << 20
+#: Shingles of a block's classes, where each class counts CLASS_WEIGHT more: a block has 4096 classes at most.
+BLOCK_SHINGLES, CLASS_WEIGHT = 1 << 19, 128
+AT_ONCE = 1 << 19  # sketch words that a cell compares at once
+NAMED, FURTHER = 8, 16
 U = np.uint64
 
 # A row's tag: band below or own (bit 0), kind (bits 1-2), rich segment (bits 3-7), slack (above).
@@ -89,10 +104,10 @@ def shingle_sets(texts: list[str | None], width: int = SHINGLE) -> list[np.ndarr
     return out
 
 
-def digest(shingles: np.ndarray) -> tuple[int, int]:
-    """128 bits of a set, as two signed longs."""
-    a, b = mix(shingles + U(0x51ED270B)).sum(dtype=U), mix(shingles ^ U(0x2545F4914F6CDD1D)).sum(dtype=U)
-    return int(mix(np.array([a + U(len(shingles))]))[0].astype(np.int64)), int(mix(np.array([b]))[0].astype(np.int64))
+def digest(shingles: np.ndarray) -> int:
+    """The fingerprint of a set, as a signed long."""
+    total = mix(shingles + U(0x51ED270B)).sum(dtype=U) + U(len(shingles))
+    return int(mix(np.array([total]))[0].astype(np.int64))
 
 
 def most_differences(a: int, b: int) -> int:
@@ -100,6 +115,28 @@ def most_differences(a: int, b: int) -> int:
     return (a + b) * (100 - PERCENT) // (100 + PERCENT)
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """Parities of the shingles in 2^k buckets, 16 to 32 for each shingle in which a partner may differ."""
+    bits = max(64, 1 << (16 * most_differences(len(shingles), len(shingles))).bit_length())
+    at = (mix(shingles ^ U(0x6A09E667F3BCC909)) & U(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(words: np.ndarray, width: int) -> np.ndarray:
+    """Sketches (rows of words) made for fewer buckets, of which each joins several."""
+    while words.shape[-1] > width:
+        half = words.shape[-1] // 2
+        words = words[..., :half] ^ words[..., half:]
+    return words
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """In how many buckets sketches differ: the sets differ in as many shingles at least."""
+    x, y = np.frombuffer(a, U), np.frombuffer(b, U)
+    width = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, width) ^ folded(y, width)).sum())
+
+
 class Bands:
     """Band k holds sizes starts[k] to starts[k + 1] - 1; no partner of a size is two bands below it."""
 
@@ -169,25 +206,26 @@ def signatures(shingles: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    for b in text_slices(batches, "text"):
+    for b in text_slices(batches, "text", SLICE_BYTES):
         yield b, shingle_sets(b.column(b.schema.get_field_index("text")).to_pylist())
+    release_memory()
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """docs (id, text): id, n, h1, h2 for each row."""
+    """docs (id, at, text): id, at, n, h, sketch for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, sets in _batches(batches):
-            h = np.array([digest(s) for s in sets], np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["id", "n", "h1", "h2"]
+                [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())],
+                names=["id", "at", "n", "h", "sketch"],
             )
 
-    return docs.mapInArrow(run, "id long, n long, h1 long, h2 long")
+    return docs.mapInArrow(run, "id long, at long, n long, h long, sketch binary")
 
 
 def all_signatures(docs: DataFrame, seed: int) -> DataFrame:
-    """docs (id, text): key, h1, tag. A set that a task has met goes out once, so copies that lie together
+    """docs (text): key, h1, tag. A set that a task has met goes out once, so copies that lie together
     don't multiply."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +233,7 @@ def all_signatures(docs: DataFrame, seed: int) -> DataFrame:
         for _, sets in _batches(batches):
             keys, ids, tags, rows = [], [], [], 0
             for s in sets:
-                h1 = digest(s)[0]
+                h1 = digest(s)
                 if h1 in seen:
                     continue
                 if len(seen) >= SEEN:
@@ -218,7 +256,7 @@ def all_signatures(docs: DataFrame, seed: int) -> DataFrame:
             names=["key", "h1", "tag"],
         )
 
-    return docs.mapInArrow(run, "key long, h1 long, tag int")
+    return docs.select("text").mapInArrow(run, "key long, h1 long, tag int")
 
 
 def shared_units(rows: DataFrame) -> DataFrame:
@@ -259,68 +297,140 @@ def shared_units(rows: DataFrame) -> DataFrame:
     )
 
 
-def similar_of(pairs: list[tuple[int, int]], sets: dict[int, np.ndarray]) -> list[bool]:
-    """Which pairs are similar. The partners of a set are counted together, by looks into one marked array."""
-    names = list(sets)
-    size = {n: len(sets[n]) for n in names}
-    _, codes = np.unique(np.concatenate([sets[n] for n in names]), return_inverse=True)
-    ends = np.cumsum([size[n] for n in names])
-    coded = dict(zip(names, np.split(codes, ends[:-1]), strict=True))
-    marks = np.zeros(len(codes), np.int64)
-    order = sorted(range(len(pairs)), key=lambda i: pairs[i])
-    out = [False] * len(pairs)
-    for a, same in groupby(order, key=lambda i: pairs[i][0]):
-        mine = [i for i in same if size[pairs[i][1]]]
-        if not mine or not size[a]:
-            continue
-        marks[coded[a]] = 1
-        partners = [coded[pairs[i][1]] for i in mine]
-        starts = np.cumsum([0] + [len(p) for p in partners[:-1]])
-        both = np.add.reduceat(marks[np.concatenate(partners)], starts)
-        marks[coded[a]] = 0
-        for i, n in zip(mine, both.tolist(), strict=True):
-            out[i] = 100 * n >= PERCENT * (size[a] + size[pairs[i][1]] - n)
-    return out
+def _fits(n_a: str, n_b: str):
+    return 100 * F.least(n_a, n_b) >= PERCENT * F.greatest(n_a, n_b)
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs (a, b) of documents whose texts (id, text) are similar.
-
-    Documents are laid out so that those with the same smallest partner lie together, and cut into blocks of
-    BLOCK_BYTES of text. A pair goes to the task of its two blocks, and a text goes once to each two blocks in
-    which it has a pair: a group of near copies sends its texts a few times, not once for each pair. A task holds
-    the texts of two blocks at most."""
-    near = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    label = near.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("label"))
-    sizes = texts.groupBy("id").agg(F.sum(F.octet_length("text") + 64).cast("long").alias("size"))
-    at = F.format_string("%020d.%020d", "label", "id")
-    laid = group_sums(label.join(sizes, "id").select(at.alias("key"), "size"))
-    id_of = F.element_at(F.split("key", r"\."), 2).cast("long")
-    blocks = stored(laid.select(id_of.alias("id"), F.expr(f"total div {BLOCK_BYTES}L").alias("block")), "jaccard-blocks")
-    placed = (
-        pairs.join(blocks.select(F.col("id").alias("a"), F.col("block").alias("block_a")), "a")
-        .join(blocks.select(F.col("id").alias("b"), F.col("block").alias("block_b")), "b")
-        .select("block_a", "block_b", "a", "b")
-    )
-    placed = stored(placed, "jaccard-placed")
-    end = lambda c: placed.select(F.col("block_a").alias("first"), F.col("block_b").alias("second"), F.col(c).alias("id")).distinct()
-    there = end("a").unionByName(end("b")).distinct().join(texts.select("id", "text"), "id")
-
-    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
-        ids = held.column("id").to_pylist()
-        sets: dict[int, list[np.ndarray]] = {}
-        for i, s in zip(ids, shingle_sets(held.column("text").to_pylist()), strict=True):
-            sets.setdefault(i, []).append(s)
-        wanted = list(zip(asked.column("a").to_pylist(), asked.column("b").to_pylist(), strict=True))
-        # A doc_id with several texts counts with each of them.
-        each = {(i, k): s for i, many in sets.items() for k, s in enumerate(many)}
-        flat = [(n, (a, j), (b, k)) for n, (a, b) in enumerate(wanted) for j in range(len(sets[a])) for k in range(len(sets[b]))]
-        number = {name: i for i, name in enumerate(each)}
-        found = similar_of([(number[x], number[y]) for _, x, y in flat], {number[name]: s for name, s in each.items()})
-        good = sorted({n for (n, _, _), ok in zip(flat, found, strict=True) if ok})
-        return pa.table({"a": pa.array([wanted[n][0] for n in good], pa.int64()), "b": pa.array([wanted[n][1] for n in good], pa.int64())})
-
-    return placed.groupBy("block_a", "block_b").cogroup(there.groupBy("first", "second")).applyInArrow(run, "a long, b long")
+def sketched(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) of classes whose sizes and sketches let them be similar."""
+    of = lambda c: classes.select(F.col("h").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+    sized = pairs.join(of("a"), "a").join(of("b"), "b").where(_fits("n_a", "n_b")).select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b, x, y = (batch.column(i).to_pylist() for i in range(2, 6))
+            near = [apart(*two) <= most_differences(*sizes) for sizes, two in zip(zip(n_a, n_b, strict=True), zip(x, y, strict=True), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return sized.mapInArrow(run, "a long, b long")
+
+
+def close_members(n: np.ndarray, sketches: list[bytes], component: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, differing buckets) of a cell's members in different components, and on different sides if there are
+    two, whose sizes and sketches let them be similar."""
+    width = np.array([len(s) >> 3 for s in sketches], np.int64)
+    two_sides = len(np.unique(side)) > 1
+    rows = {}
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width == w)
+        at = at[np.argsort(n[at], kind="stable")]
+        rows[w] = at, np.frombuffer(b"".join([sketches[i] for i in at]), U).reshape(len(at), w)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for w, (at, words) in rows.items():
+        for wider in (w, 2 * w):  # sizes that fit have sketches of equal lengths, or of neighbouring ones
+            if wider not in rows:
+                continue
+            other, theirs = rows[wider]
+            theirs = folded(theirs, w)
+            step = max(1, AT_ONCE // len(other))
+            for first in range(0, len(at), step):
+                mine = at[first : first + step]
+                low = int(np.searchsorted(n[other], -(-int(n[mine[0]]) * PERCENT // 100)))
+                high = int(np.searchsorted(n[other], int(n[mine[-1]]) * 100 // PERCENT, side="right"))
+                partner = other[low:high]
+                a, b = n[mine][:, None], n[partner][None]
+                may = (component[mine][:, None] != component[partner][None]) & (100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b))
+                if two_sides:
+                    may &= side[mine][:, None] != side[partner][None]
+                if wider == w:
+                    may &= np.arange(first, first + len(mine))[:, None] < np.arange(low, low + len(partner))[None]
+                i, j = np.nonzero(may)
+                part = max(1, AT_ONCE // w)
+                for k in range(0, len(i), part):
+                    x, y = i[k : k + part], j[k : k + part]
+                    bits = np.bitwise_count(words[first + x] ^ theirs[low + y]).sum(1, dtype=np.int64)
+                    good = bits <= (n[mine[x]] + n[partner[y]]) * (100 - PERCENT) // (100 + PERCENT)
+                    out.append((mine[x[good]], partner[y[good]], bits[good]))
+    if not out:
+        nothing = np.zeros(0, np.int64)
+        return nothing, nothing, nothing
+    return tuple(np.concatenate(parts) for parts in zip(*out, strict=True))
+
+
+def cells(units: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """The members of all cells: first, second (blocks), block, h, component, n, sketch. None if no unit joins
+    different components."""
+    many = units.where(F.col("n") > 2).select("key", "h1", "probes")
+    named = many.join(labels, F.col("h1") == F.col("node"), "left").select("key", F.col("h1").alias("h"), "probes", F.coalesce("component", "h1").alias("component"))
+    members = stored(named, "jaccard-members")
+    mixed = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("probes").alias("p")).where("p AND x < y").select("key")
+    open_ = stored(members.join(mixed, "key", "left_semi").select("key", "h", "component").distinct(), "jaccard-open")
+    discard(members)
+    if open_.isEmpty():
+        discard(open_)
+        return None
+    # Related classes get one label: the smallest component among those that share a unit, twice over.
+    label = open_.select("key", "h", F.col("component").alias("label"))
+    for _ in range(2):
+        least = label.groupBy("key").agg(F.min("label").alias("least"))
+        spread = stored(label.select("key", "h").join(least, "key").groupBy("h").agg(F.min("least").alias("label")), "jaccard-label")
+        label = open_.select("key", "h").join(spread, "h")
+    at = F.format_string("%020d.%020d.%020d", "label", "component", "h")
+    own = spread.join(open_.select("h", "component").distinct(), "h").join(classes.select("h", "n"), "h")
+    laid = group_sums(own.select(at.alias("key"), (F.col("n") + CLASS_WEIGHT).alias("size")))
+    blocks = stored(laid.select(F.element_at(F.split("key", r"\."), 3).cast("long").alias("h"), F.expr(f"total div {BLOCK_SHINGLES}L").alias("block")), "jaccard-blocks")
+    placed = open_.join(blocks, "h").select("key", "h", "component", "block")
+    touched = placed.select("key", "block").groupBy("key").agg(F.sort_array(F.collect_set("block")).alias("blocks"))
+    runs = placed.join(touched, "key").select("blocks", "h", "component", "block").distinct()
+    apart_ = runs.select("h", "component", "block", F.explode("blocks").alias("other"))
+    cell = apart_.select(F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "h", "component").distinct()
+    return stored(cell.join(classes.select("h", "n", "sketch"), "h"), "jaccard-cells")
+
+
+def named_pairs(members: DataFrame, limit: int) -> DataFrame:
+    """Of each cell and each two components the `limit` pairs (a, b) with the closest sketches; a row of nulls
+    where there are more."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        h, component, n, block = (cell.column(c).to_numpy() for c in ("h", "component", "n", "block"))
+        i, j, bits = close_members(n, cell.column("sketch").to_pylist(), component, block)
+        low, high = np.minimum(component[i], component[j]), np.maximum(component[i], component[j])
+        order = np.lexsort((j, i, bits, high, low))
+        i, j, low, high = i[order], j[order], low[order], high[order]
+        begins = np.ones(len(i), bool)
+        begins[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+        place = np.arange(len(i)) - np.maximum.accumulate(np.where(begins, np.arange(len(i)), 0))
+        kept = place < limit
+        a, b = h[i[kept]].tolist(), h[j[kept]].tolist()
+        left = [None] if not kept.all() else []
+        return pa.table({"a": pa.array(a + left, pa.int64()), "b": pa.array(b + left, pa.int64())})
+
+    return members.groupBy("first", "second").applyInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) of classes whose whole texts are similar. Texts come from the first document of a
+    class; a pair and its two texts are one row of a stream, so no task holds a group."""
+    wanted = stored(pairs.select("a").union(pairs.select("b")).distinct().join(classes.select(F.col("h").alias("a"), "id", "at"), "a"), "jaccard-wanted")
+    found = docs.join(broadcast_if_small(wanted), ["id", "at"]).groupBy("a").agg(F.min("text").alias("text"))
+    texts = stored(found.select(F.col("a").alias("h"), "text"), "jaccard-texts")
+    of = lambda c: texts.select(F.col("h").alias(c), F.col("text").alias(f"text_{c}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            text = dict(zip(a, batch.column(2), strict=True)) | dict(zip(b, batch.column(3), strict=True))
+            sets = dict(zip(text, shingle_sets([t.as_py() for t in text.values()]), strict=True))
+            good = []
+            for x, y in zip(a, b, strict=True):
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                good.append(100 * both >= PERCENT * (len(sets[x]) + len(sets[y]) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+        release_memory()
+
+    links = stored(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "jaccard-links")
+    discard(wanted, texts)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -342,75 +452,78 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _once(docs: DataFrame, seed: int) -> DataFrame:
+def _members(docs: DataFrame, seed: int) -> DataFrame:
+    """docs (id, at, text): id, at, n and h of each row, and `winner`, the smallest (id, class) of its component
+    (null where the set is empty)."""
     spark: SparkSession = docs.sparkSession
     rows = stored(digests(docs), "jaccard-digests")
-    classes = stored(rows.where(F.col("n") > 0).groupBy("h1", "h2").agg(F.min("id").alias("doc"), F.first("n").alias("n")), "jaccard-classes")
+    first = F.min(F.struct("id", "at")).alias("first")
+    last = F.min(F.when(F.col("id") == NO_ID, LAST_ID).otherwise(F.col("id"))).alias("least")
+    grouped = rows.where(F.col("n") > 0).groupBy("h").agg(first, last, F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = stored(grouped.select("h", "first.id", "first.at", "least", "n", "sketch"), "jaccard-classes")
     units = stored(shared_units(all_signatures(docs, seed)), "jaccard-units")
     free_shuffles(spark)
-    of = lambda c: classes.select(F.col("h1").alias(f"{c}_h"), F.col("doc").alias(c), F.col("n").alias(f"n_{c}"))
-    probes = units.where("probes")
-    ends = F.explode(F.array_distinct(F.array("low", "high"))).alias("b_h")
-
-    def pairs(found: DataFrame) -> DataFrame:
-        """Distinct pairs (a, b) of documents, of sizes that can be similar, from pairs of classes."""
-        sized = found.where(F.col("a_h") != F.col("b_h")).distinct().join(of("a"), "a_h").join(of("b"), "b_h")
-        fits = (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & (F.col("a") != F.col("b"))
-        return sized.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    first = stored(pairs(probes.select(F.col("h1").alias("a_h"), ends)), "jaccard-pairs")
-    many = units.where(F.col("n") > 2)
-    wanted = first.select("a").union(first.select("b")).union(many.join(of("a"), F.col("h1") == F.col("a_h")).select("a")).distinct()
-    texts = stored(docs.join(wanted.withColumnRenamed("a", "id"), "id", "left_semi").dropDuplicates(["id", "text"]), "jaccard-texts")
-    links = stored(verified(first, texts), "jaccard-links")
-    # Where a unit still joins different components, its other members are compared across them. The units of
-    # the larger set of a pair, or of either of two equal ones, find it: one direction is enough.
+    ends = F.explode(F.array_distinct(F.array("low", "high"))).alias("end")
+    found = units.where("probes").select("h1", ends).where(F.col("end") != F.col("h1"))
+    star = stored(sketched(found.select(F.least("h1", "end").alias("a"), F.greatest("h1", "end").alias("b")).distinct(), classes), "jaccard-pairs")
+    links = verified(star, docs, classes)
     labels = components(links)
-    named = many.join(of("a"), F.col("h1") == F.col("a_h")).join(labels, F.col("a") == F.col("node"), "left")
-    members = stored(named.select("key", F.col("h1").alias("h"), F.coalesce("component", "a").alias("component"), F.col("n_a").alias("n"), "probes", "indexes"), "jaccard-members")
-    mixed = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    open_ = stored(members.join(mixed, "key", "left_semi"), "jaccard-open")
-    index = open_.where("indexes").select("key", F.col("component").alias("other"), F.col("h").alias("b_h"), F.col("n").alias("n_b"))
-    others = index.groupBy("key", "other").agg(F.min("n_b").alias("least"), F.max("n_b").alias("most"))
-    reaches = (100 * F.col("most") >= PERCENT * F.col("n")) & (F.col("least") <= F.col("n"))
-    probing = open_.where("probes").select("key", "component", F.col("h").alias("a_h"), "n")
-    across = probing.join(others, "key").where((F.col("component") != F.col("other")) & reaches).select("key", "a_h", "n", "other")
-    smaller = (F.col("n_b") < F.col("n")) | ((F.col("n_b") == F.col("n")) & (F.col("b_h") < F.col("a_h")))
-    fits = (100 * F.col("n_b") >= PERCENT * F.col("n")) & smaller
-    members_of = across.join(index, ["key", "other"]).where(fits).select("a_h", "b_h")
-    second = pairs(members_of).join(first, ["a", "b"], "left_anti")
-    second = stored(second, "jaccard-pairs")
-    more = stored(verified(second, texts), "jaccard-links")
-    final = components(links.unionByName(more)) if not more.isEmpty() else labels
-    discard(units, first, texts, links, members, open_, second, more)
-    # Classes, then components: a class belongs to its document's, and a document to all its classes'.
-    result = (
-        rows.join(classes.select("h1", "h2", "doc"), ["h1", "h2"], "left")
-        .join(final, F.col("doc") == F.col("node"), "left")
-        .select("id", "n", F.coalesce("component", "doc", "id").alias("component"))
-    )
-    return result.select(
-        F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"),
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("component") != NO_ID, F.col("component")).alias("component_id"),
-    )
-
-
-def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
+    discard(star)
+    limit = NAMED
+    while (members := cells(units, labels, classes)) is not None:
+        named = stored(named_pairs(members, limit), "jaccard-pairs")
+        more = verified(named.where(F.col("a").isNotNull()).distinct(), docs, classes)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = components(links)
+        free_shuffles(spark)
+        if named.where(F.col("a").isNull()).isEmpty():
+            break
+        limit *= FURTHER
+    discard(units)
+    placed = classes.select("h", "least").join(labels, F.col("h") == F.col("node"), "left").select("h", "least", F.coalesce("component", "h").alias("component"))
+    winners = placed.groupBy("component").agg(F.min(F.struct(F.col("least").alias("id"), "h")).alias("winner"))
+    return rows.select("id", "at", "n", "h").join(placed.join(winners, "component").select("h", "winner"), "h", "left")
+
+
+def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, at (a hash of the text, which tells rows of one id apart), text."""
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.col(text_col)).alias("at"), F.col(text_col).alias("text"))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     small_batches(docs.sparkSession)
-    slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
+    slim = _slim(docs, id_col, text_col)
     for seed in range(8):
         try:
-            return _once(slim, seed)
+            return _members(slim, seed)
         except Exception as e:  # the workers' exception reaches the driver as text
             if "NoCover" not in str(e):
                 raise
     raise NoCover
 
 
+def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every row: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
+    found = _grouped(docs, id_col, text_col)
+    own = F.when(F.col("id") != NO_ID, F.col("id"))
+    least = F.when(F.col("winner.id") != LAST_ID, F.col("winner.id"))
+    return found.select(own.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("winner").isNull(), own).otherwise(least).alias("component_id"))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that have a smaller doc_id in their component; columns as they are."""
-    found = similarity_components(docs, id_col, text_col)
-    losers = found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("loser")).distinct()
-    return docs.alias("d").join(losers.alias("l"), F.col(f"d.{id_col}") == F.col("l.loser"), "left_anti")
+    """One row of each component, that with the smallest doc_id (nulls last), and all rows without a
+    shingle; columns as they are. Of rows that repeat both doc_id and text one stays."""
+    found = stored(_grouped(docs, id_col, text_col).where(F.col("winner").isNotNull()), "jaccard-rows")
+    place = F.struct(F.when(F.col("id") == NO_ID, LAST_ID).otherwise(F.col("id")).alias("id"), "h")
+    losers = stored(found.where(place > F.col("winner")).select("id", "at").distinct(), "jaccard-losers")
+    twice = stored(found.where(place == F.col("winner")).groupBy("id", "at").count().where("count > 1").select("id", "at"), "jaccard-twice")
+    discard(found)
+    mine = docs.alias("d")
+    same = (F.coalesce(F.col(f"d.{id_col}").cast("long"), F.lit(NO_ID)) == F.col("l.id")) & (F.xxhash64(F.col(f"d.{text_col}")) == F.col("l.at"))
+    kept = mine.join(broadcast_if_small(losers).alias("l"), same, "left_anti")
+    if twice.isEmpty():
+        return kept
+    repeated = broadcast_if_small(twice).alias("l")
+    once = kept.alias("d").join(repeated, same, "left_anti")
+    return once.unionByName(kept.alias("d").join(repeated, same, "left_semi").dropDuplicates([id_col, text_col]))
