@@ -36,9 +36,20 @@ def joint_status(statuses: Column) -> Column:
     return F.when(F.size(statuses) == 1, F.get(statuses, F.lit(0))).otherwise(status_name(F.array_max(F.transform(statuses, status_rank))))
 
 
-def collapse(status: Column) -> Column:
-    """A superposed status, once witnessed or refuted, becomes definite."""
-    return F.when(status == "witnessed", "exemplifiable").when(status == "refuted", "hallucinated").otherwise("unknown")
+def superpose(*statuses: Column) -> Column:
+    """A5: a status that is one of several, as the array of them."""
+    return F.array(*statuses)
+
+
+def classify(names: Column, statuses: Column, wanted: str) -> Column:
+    """The names whose status is the wanted one."""
+    return F.transform(F.filter(F.arrays_zip(names.alias("n"), statuses.alias("s")), lambda x: x["s"] == wanted), lambda x: x["n"])
+
+
+def collapse(observation: Column, superposed: Column | None = None) -> Column:
+    """A5: what an observation makes of a superposed status; without one, of any. What isn't superposed (null) stays null."""
+    made = F.when(observation == "witnessed", "exemplifiable").when(observation == "refuted", "hallucinated").otherwise("unknown")
+    return made if superposed is None else F.when(superposed.isNotNull(), made)
 
 
 def count_hallucinated(statuses: Column) -> Column:

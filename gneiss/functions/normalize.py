@@ -7,7 +7,7 @@ step is a regular expression over the whole text, so a document is normalised in
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, functions as F
 
@@ -44,6 +44,18 @@ class Config:
     threshold: float = CONFIDENCE_THRESHOLD
     penalties: dict[str, float] = field(default_factory=lambda: dict(PENALTIES))
     stopwords: tuple[str, ...] = STOPWORDS
+    dangerous: tuple[str, ...] = DANGEROUS
+    high: float = HIGH
+    medium: float = MEDIUM
+
+    def overridden(self, **values: object) -> Config:
+        """V8: with other values; penalties are added to those that there are."""
+        if "penalties" in values:
+            values["penalties"] = self.penalties | dict(values["penalties"])
+        return replace(self, **values)
+
+    def penalty(self, step: str) -> float:
+        return self.penalties.get(step, UNKNOWN_PENALTY)
 
 
 def lists(c: Column) -> Column:

@@ -1,32 +1,41 @@
-"""Provenance graphs (G1-G39 but G16, G26, G35 and G37): closures, depth, layers, health tables, comparison of several graphs.
+"""Provenance graphs (G1-G40): closures, depth, layers, health tables, comparison of several graphs.
 
-nodes (name, kind, value), edges (src, dst): src is an input of dst. Closures go frontier by frontier: each
-round joins only the nodes found last, drops those already seen, and writes its result to the shared folder, so
-diamonds don't multiply paths and a lost executor costs one round."""
+nodes (name, kind, value), edges (src, dst): src is an input of dst. Closures go frontier by frontier: each round
+joins only the nodes found last and drops those already seen, which lie in one folder of the shared store, a
+part for each depth. So diamonds don't multiply paths, and a lost executor costs one round. Query texts over graphs
+and health tables are in gneiss.plans.views."""
 
 from __future__ import annotations
 
-from functools import reduce
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from pyspark.sql import Column, DataFrame, functions as F
-
-from gneiss.sources.shared import stored
+from gneiss.sources.shared import new_path, stored, written
 
 KINDS = ("fact", "axiom", "theorem", "calc", "term-fwd", "term-comp", "synthetic")
 
 
+def _rounds(edges: DataFrame, seeds: DataFrame, once: bool, most: int | None = None) -> DataFrame:
+    """(name, depth) by rounds from the seeds: with `once` a name only at the first depth that it is found at."""
+    spark = edges.sparkSession
+    edges = stored(edges.select("src", "dst").distinct())
+    folder = new_path(spark, "closure")
+    schema = T.StructType([T.StructField("name", seeds.schema["name"].dataType), T.StructField("depth", T.IntegerType())])
+    found, n = written(seeds.select("name").distinct(), f"{folder}/depth=0"), 0
+    while found:
+        n += 1
+        if most is not None and n > most:
+            raise ValueError("the graph has a cycle")
+        seen = spark.read.schema(schema).parquet(folder)
+        step = seen.where(F.col("depth") == n - 1).join(edges, F.col("name") == F.col("src")).select(F.col("dst").alias("name")).distinct()
+        if once:
+            step = step.join(seen.select("name"), "name", "left_anti")
+        found = written(step, f"{folder}/depth={n}")
+    return spark.read.schema(schema).parquet(folder)
+
+
 def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(name, depth): all that edges lead to from the seeds (name), by the least number of steps."""
-    edges = edges.select("src", "dst").distinct()
-    front = stored(seeds.select("name").distinct().withColumn("depth", F.lit(0)))
-    parts = [front]
-    while not front.isEmpty():
-        step = front.join(edges, front["name"] == edges["src"]).select(F.col("dst").alias("name")).distinct()
-        for p in parts:
-            step = step.join(p.select("name"), "name", "left_anti")
-        front = stored(step.withColumn("depth", F.lit(len(parts))))
-        parts.append(front)
-    return reduce(DataFrame.unionByName, parts)
+    return _rounds(edges, seeds, once=True)
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
@@ -51,26 +60,37 @@ def localize(nodes: DataFrame, edges: DataFrame, name: DataFrame) -> tuple[DataF
 
 
 def settled_depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """G2 with the bump: of nodes at one depth, one whose facts strictly include another's moves a level down, with
-    what rests on it, until nothing moves. Compares nodes of a depth that share a fact, not all of them."""
+    """G2 with the bump: of nodes at one depth over 0, one whose set of fact inputs strictly holds another's (the
+    empty set too) moves a level down, until none does; then nodes move below all their inputs.
+
+    What is compared are the distinct sets of a depth. A set meets only those that hold its rarest fact, and an
+    empty one is a mark on its depth, so a fact that many nodes use doesn't bring all of them together."""
     edges = stored(edges.select("src", "dst").distinct())
     facts = edges.join(nodes.where("kind = 'fact'").select(F.col("name").alias("src")), "src", "left_semi")
-    counts = stored(facts.groupBy(F.col("dst").alias("name")).agg(F.count(F.lit(1)).alias("n")))
-    now = stored(depths(nodes, edges))
-    for _ in range(nodes.count() + 1):
-        at = now.join(counts, "name").select(F.col("name").alias("dst"), "depth", "n")
-        held = facts.join(at, "dst")
-        a = held.select("src", F.col("dst").alias("a"), F.col("depth").alias("at"), F.col("n").alias("n_a"))
-        b = held.select("src", F.col("dst").alias("b"), F.col("depth").alias("b_at"), F.col("n").alias("n_b"))
-        shared = a.join(b, "src").where((F.col("at") == F.col("b_at")) & (F.col("n_a") > F.col("n_b"))).groupBy("a", "b", "n_b").agg(F.count(F.lit(1)).alias("k"))
-        bumped = shared.where(F.col("k") == F.col("n_b")).select(F.col("a").alias("name")).distinct().withColumn("more", F.lit(1))
-        raised = now.join(bumped, "name", "left").select("name", (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
-        below = edges.join(raised.withColumnRenamed("name", "src"), "src").groupBy(F.col("dst").alias("name")).agg((F.max("depth") + 1).alias("least"))
-        later = stored(raised.join(below, "name", "left").select("name", F.greatest("depth", F.coalesce("least", F.lit(0))).alias("depth")))
-        if later.join(now, ["name", "depth"], "left_anti").isEmpty():
-            return later
-        now = later
-    raise ValueError("depths don't settle")
+    held = stored(facts.groupBy(F.col("dst").alias("name")).agg(F.sort_array(F.collect_set("src")).alias("facts")))
+    none = F.array().cast(held.schema["facts"].dataType)
+    now = stored(depths(nodes, edges).join(held, "name", "left").select("name", "depth", F.coalesce("facts", none).alias("facts")))
+    while True:
+        sets = stored(now.where("depth > 0").select("depth", "facts").distinct())
+        each = sets.where(F.size("facts") > 0).select("depth", "facts", F.explode("facts").alias("fact"))
+        often = each.groupBy("depth", "fact").agg(F.count(F.lit(1)).alias("n"))
+        rarest = each.join(often, ["depth", "fact"]).groupBy("depth", "facts").agg(F.min(F.struct("n", "fact"))["fact"].alias("fact"))
+        inner = rarest.select("depth", "fact", F.col("facts").alias("inside"))
+        smaller = (F.size("inside") < F.size("facts")) & (F.size(F.array_except("inside", "facts")) == 0)
+        bumped = each.join(inner, ["depth", "fact"]).where(smaller).select("depth", "facts")
+        empty = sets.where(F.size("facts") == 0).select("depth")
+        bumped = stored(bumped.unionByName(sets.where(F.size("facts") > 0).join(empty, "depth", "left_semi")).distinct())
+        if bumped.isEmpty():
+            break
+        more = bumped.withColumn("more", F.lit(1))
+        now = stored(now.join(more, ["depth", "facts"], "left").select("name", (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), "facts"))
+    now = now.select("name", "depth")
+    while True:
+        below = edges.join(now.withColumnRenamed("name", "src"), "src").groupBy(F.col("dst").alias("name")).agg((F.max("depth") + 1).alias("least"))
+        later = stored(now.join(below, "name", "left").select("name", F.greatest("depth", F.coalesce("least", F.lit(0))).alias("depth"), (F.col("least") > F.col("depth")).alias("moved")))
+        now = later.select("name", "depth")
+        if later.where("moved").isEmpty():
+            return now
 
 
 def reprobe(old_nodes: DataFrame, edges: DataFrame, fresh: DataFrame, changed: DataFrame) -> DataFrame:
@@ -81,18 +101,8 @@ def reprobe(old_nodes: DataFrame, edges: DataFrame, fresh: DataFrame, changed: D
 
 def depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(name, depth), the longest path from a node without inputs."""
-    edges = edges.select("src", "dst").distinct()
-    front = stored(nodes.select("name").join(edges.select(F.col("dst").alias("name")).distinct(), "name", "left_anti"))
-    parts, n = [front.withColumn("depth", F.lit(0))], 0
-    bound = None
-    while not front.isEmpty():
-        n += 1
-        bound = bound or nodes.count()
-        if n > bound:
-            raise ValueError("the graph has a cycle")
-        front = stored(front.join(edges, front["name"] == edges["src"]).select(F.col("dst").alias("name")).distinct())
-        parts.append(front.withColumn("depth", F.lit(n)))
-    return reduce(DataFrame.unionByName, parts).groupBy("name").agg(F.max("depth").alias("depth"))
+    leaves = nodes.select("name").join(edges.select(F.col("dst").alias("name")).distinct(), "name", "left_anti")
+    return _rounds(edges, leaves, once=False, most=nodes.count()).groupBy("name").agg(F.max("depth").alias("depth"))
 
 
 def input_classes(nodes: DataFrame, edges: DataFrame, depth: DataFrame) -> DataFrame:
@@ -119,6 +129,17 @@ def layers(nodes: DataFrame, edges: DataFrame, depth: DataFrame) -> DataFrame:
     return joined.select("name", "kind", F.when(root, 0).otherwise(F.col("depth")).alias("layer"))
 
 
+def in_order(nodes: DataFrame, depth: DataFrame) -> DataFrame:
+    """Nodes with their depth, inputs before what rests on them: sorted by depth, then name."""
+    return nodes.join(depth, "name").orderBy("depth", "name")
+
+
+def consumer(edges: DataFrame, classes: DataFrame, name: str, *types: str) -> DataFrame:
+    """The inputs of a node with their class, of some classes only if any are named."""
+    own = classes.where(F.col("dst") == name).join(edges.select("src", "dst").distinct(), ["src", "dst"], "left_semi")
+    return (own.where(F.col("input_type").isin(*types)) if types else own).select(F.col("src").alias("name"), "input_type")
+
+
 # --- lens ---------------------------------------------------------------------------------------------
 
 
@@ -188,6 +209,31 @@ def select_items(items: DataFrame, category: str | None = None, kind: str | None
     return items
 
 
+def suggestions(items: DataFrame, column: str, asked: str, most: int = 10) -> DataFrame:
+    """What a filter that found nothing may have meant: values that share their first three letters with it, or
+    all values if none does, sorted."""
+    values = items.select(F.col(column).alias("value")).where(F.col("value").isNotNull()).distinct()
+    first, asked = F.substring("value", 1, 3), asked.rstrip(".")
+    near = F.contains(F.col("value"), F.lit(asked[:3])) | F.contains(F.lit(asked), first)
+    marked = values.withColumn("near", near)
+    any_near = marked.agg(F.coalesce(F.bool_or("near"), F.lit(False)).alias("some"))
+    return marked.crossJoin(any_near).where(F.col("near") | ~F.col("some")).select("value").orderBy("value").limit(most)  # one row beside the values
+
+
+def report(errors: DataFrame, issues: DataFrame, warnings: DataFrame, danglings: DataFrame, places: DataFrame) -> DataFrame:
+    """One table of health items. errors: (name, status, cause, kind, loc) of a load; issues and warnings:
+    (name, item); danglings: (name); places: (name, kind, loc) of the program's entries."""
+    loader = errors.select("name", F.lit("loader").alias("category"), F.col("status").alias("type"), "kind", "loc", F.col("cause").alias("detail"))
+    placed = lambda df, category, type_: (
+        df.join(places, "name", "left").select("name", F.lit(category).alias("category"), type_.alias("type"), "kind", F.coalesce("loc", F.lit("?")).alias("loc"), type_.alias("detail"))
+    )
+    return (
+        loader.unionByName(placed(issues, "issue", F.col("item")))
+        .unionByName(placed(warnings, "warning", F.col("item")))
+        .unionByName(placed(danglings, "dangling", F.lit("dangling")))
+    )
+
+
 def consistent(items: DataFrame) -> DataFrame:
     return items.agg((F.count_if(F.col("category") == "issue") == 0).alias("consistent"))
 
@@ -221,6 +267,12 @@ def incremental(items: DataFrame, patched: DataFrame, fresh: DataFrame, evidence
     return kept.unionByName(fresh)
 
 
+def focused(items: DataFrame, prefix: str) -> tuple[DataFrame, DataFrame]:
+    """The items of a namespace, and whether no issue is left among them."""
+    own = select_items(items, prefix=prefix)
+    return own, consistent(own)
+
+
 # --- several graphs, told apart by lens_id ---------------------------------------------------------------
 
 
@@ -228,6 +280,19 @@ def in_lens(nodes: DataFrame, lens: int) -> DataFrame:
     return nodes.where(F.col("lens_id") == lens)
 
 
+def together(graphs: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of several graphs as one, each with the number of its graph as lens_id."""
+    nodes = [n.select(F.lit(i).alias("lens_id"), "name", "kind", "value") for i, (n, _) in enumerate(graphs)]
+    edges = [e.select(F.lit(i).alias("lens_id"), "src", "dst") for i, (_, e) in enumerate(graphs)]
+    both = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(both(parts[1:]))
+    return both(nodes), both(edges)
+
+
+def first_of(nodes: DataFrame) -> DataFrame:
+    """Each name once, as the first graph that has it says."""
+    return _spread(nodes).select("name", "p.kind", "p.value", "lenses")
+
+
 def _spread(nodes: DataFrame) -> DataFrame:
     first = F.min_by(F.struct("kind", "value"), F.col("lens_id"))
     return nodes.groupBy("name").agg(F.sort_array(F.collect_set("lens_id")).alias("lenses"), first.alias("p"))

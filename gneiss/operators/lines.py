@@ -58,11 +58,12 @@ def occurrences(docs: DataFrame, phrase: str, doc: str = "doc", text: str = "tex
 def phrase_lines(docs: DataFrame, phrase: str, doc: str = "doc", text: str = "text", ignore_case: bool = True) -> DataFrame:
     """Lines that hold a phrase literally within the line, with the column of its first place. Less than S2: see
     normal_phrase_lines."""
-    rows = lines_of(docs, doc, text)
-    hay = F.lower("context") if ignore_case else F.col("context")
     needle = phrase.lower() if ignore_case else phrase
-    at = F.locate(needle, hay)
-    return as_posting(rows.where(at > 0), at)
+    low = F.lower if ignore_case else lambda c: c
+    # Lines without the phrase go before rows are made of them.
+    numbered = F.transform(F.split(F.col(text), "\n"), lambda x, i: F.struct((i + 1).cast("long").alias("line"), F.locate(needle, low(x)).alias("column"), x.alias("context")))
+    hits = docs.select(F.col(doc).alias("doc"), F.explode(F.filter(numbered, lambda x: x["column"] > 0)).alias("l")).select("doc", "l.*")
+    return as_posting(hits, F.col("column"))
 
 
 def _letters(c: Column) -> Column:
@@ -71,10 +72,11 @@ def _letters(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, upper + "\u212a", upper.lower() + "k"), "[^a-z]", "")
 
 
-def normal_phrase_lines(docs: DataFrame, phrase: str, doc: str = "doc", text: str = "text") -> DataFrame:
-    """The normalised phrase in the normalised document, over punctuation, white space, hyphenation and line
-    ends; each hit counts for the line where it begins, with the column of the first one there. Normalisation
-    leaves the order of letters as it is, so only documents that hold the letters of the phrase are looked at."""
+def phrase_hits(docs: DataFrame, phrase: str, doc: str = "doc", text: str = "text") -> DataFrame:
+    """Every occurrence of the normalised phrase in the normalised document, over punctuation, white space,
+    hyphenation and line ends, overlapping ones too: (doc, line, column, context, start, end), the last two in the
+    normalised text. Normalisation leaves the order of letters as it is, so only documents that hold the letters of the
+    phrase are looked at."""
     wanted = normalized_with_places(phrase)[0]
     rows = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).where(F.col("text").isNotNull() & F.lit(wanted != ""))
     rows = rows.where(F.contains(_letters(F.col("text")), _letters(F.lit(wanted))))
@@ -84,21 +86,29 @@ def normal_phrase_lines(docs: DataFrame, phrase: str, doc: str = "doc", text: st
             out = []
             for name, t in zip(b["doc"], b["text"], strict=True):
                 norm, at, _ = normalized_with_places(t)
-                line, seen, last = 1, 0, 0
+                line, seen = 1, 0
                 hit = norm.find(wanted)
                 while hit >= 0:
                     place = at[hit]
                     line, seen = line + t.count("\n", seen, place), place
-                    if line > last:
-                        begin, end = t.rfind("\n", 0, place) + 1, t.find("\n", place)
-                        out.append((name, line, place - begin + 1, t[begin : end if end >= 0 else len(t)]))
-                        last = line
+                    begin, end = t.rfind("\n", 0, place) + 1, t.find("\n", place)
+                    out.append((name, line, place - begin + 1, t[begin : end if end >= 0 else len(t)], hit, hit + len(wanted)))
                     hit = norm.find(wanted, hit + 1)
-            yield pd.DataFrame(out, columns=["doc", "line", "column", "context"])
+            yield pd.DataFrame(out, columns=["doc", "line", "column", "context", "start", "end"])
 
     kind = rows.schema["doc"].dataType.simpleString()
-    found = rows.mapInPandas(run, f"doc {kind}, line long, column int, context string")
-    return as_posting(found, F.col("column"))
+    return rows.mapInPandas(run, f"doc {kind}, line long, column int, context string, start long, end long")
+
+
+def by_line(hits: DataFrame) -> DataFrame:
+    """A posting of the lines in which hits begin, with the column of the first one there."""
+    first = hits.groupBy("doc", "line").agg(F.min(F.struct("column", "context")).alias("h"))
+    return as_posting(first.select("doc", "line", "h.column", "h.context"), F.col("column"))
+
+
+def normal_phrase_lines(docs: DataFrame, phrase: str, doc: str = "doc", text: str = "text") -> DataFrame:
+    """S2 as a posting."""
+    return by_line(phrase_hits(docs, phrase, doc, text))
 
 
 def word_postings(docs: DataFrame, doc: str = "doc", text: str = "text", config: Config = Config()) -> DataFrame:
@@ -107,8 +117,10 @@ def word_postings(docs: DataFrame, doc: str = "doc", text: str = "text", config:
     return docs.select(F.col(doc).alias("doc"), F.posexplode(tokens).alias("pos", "word")).where(F.col("word") != "").select("doc", "word", "pos")
 
 
-def word_frequency(docs: DataFrame, min_docs: int = 1, doc: str = "doc", text: str = "text") -> DataFrame:
+def word_frequency(docs: DataFrame, min_docs: int = 1, doc: str = "doc", text: str = "text", config: Config = Config()) -> DataFrame:
     """Words in at least min_docs documents, with their count. Counting by (word, document) first makes
     both sums partial aggregates; no distinct set of documents is held for a word."""
-    each = word_postings(docs, doc, text).groupBy("word", "doc").agg(F.count(F.lit(1)).alias("n"))
+    tokens = F.split(normalized(F.col(text), config), " ")
+    words = docs.select(F.col(doc).alias("doc"), F.explode(tokens).alias("word")).where(F.col("word") != "")
+    each = words.groupBy("word", "doc").agg(F.count(F.lit(1)).alias("n"))
     return each.groupBy("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs)

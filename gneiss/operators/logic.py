@@ -92,7 +92,7 @@ def consistent(items: DataFrame) -> DataFrame:
 
 def located(items: DataFrame, places: DataFrame) -> DataFrame:
     """With file, line and kind where known."""
-    return items.join(places, "name", "left").withColumn("loc", F.coalesce(F.concat_ws(":", "file", "line"), F.lit("?")))
+    return items.join(places, "name", "left").withColumn("loc", F.when(F.col("file").isNull(), "?").otherwise(F.concat_ws(":", "file", "line")))
 
 
 def danglings(names: DataFrame, referenced: DataFrame) -> DataFrame:
@@ -120,3 +120,19 @@ def verify_manually(sources: DataFrame, names: DataFrame) -> DataFrame:
 def blinded(facts: DataFrame) -> DataFrame:
     """Names and types, no values."""
     return facts.select("name", "vtype")
+
+
+def contradictions(said: DataFrame) -> DataFrame:
+    """(expression, names) of said (expression, name, value) with both truth values."""
+    both = said.groupBy("expression").agg(F.bool_or("value").alias("yes"), F.bool_and("value").alias("all"), F.sort_array(F.collect_set("name")).alias("names"))
+    return both.where(F.col("yes") & ~F.col("all")).select("expression", "names")
+
+
+def resolve_values(names: DataFrame, *stores: DataFrame) -> DataFrame:
+    """(name, value, store) of names by the first store (name, value) that has them, null where none does."""
+    joined, value, which = names, F.lit(None), F.lit(None).cast("int")
+    for i, s in reversed(list(enumerate(stores))):
+        joined = joined.join(s.select("name", F.col("value").alias(f"v{i}"), F.lit(True).alias(f"in{i}")), "name", "left")
+        value = F.when(F.col(f"in{i}"), F.col(f"v{i}")).otherwise(value)
+        which = F.when(F.col(f"in{i}"), F.lit(i)).otherwise(which)
+    return joined.select("name", value.alias("value"), which.alias("store"))

@@ -15,7 +15,9 @@ from gneiss.operators import forms, graph as G, integrity as I, lines as L, logi
 from gneiss.plans.compiler import Compiler
 from gneiss.plans.search_language import Search
 from gneiss.plans.sexpr import Rules
+from gneiss.plans.system import System
 from gneiss.sources import documents as D, references as R
+from gneiss.sources.shared import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -58,7 +60,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    return spread(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text"), "doc")
 
 
 def _key(posting: DataFrame) -> DataFrame:
@@ -185,9 +187,7 @@ TOKENS = r"""tokens AS (SELECT doc, unnest(w) AS word, CAST(unnest(generate_seri
 @query(f"WITH {TOKENS} SELECT word, count(*) AS n, count(DISTINCT doc) AS docs FROM tokens WHERE word <> '' GROUP BY word HAVING count(DISTINCT doc) >= 5")
 def word_freq_min_docs(spark, sf_dir):
     plain = N.Config(ignore_case=False, ignore_lists=False, ignore_hyphenation=False, ignore_punctuation=False)
-    words = L.word_postings(_docs(spark, sf_dir), config=plain)
-    each = words.groupBy("word", "doc").agg(F.count(F.lit(1)).alias("n"))
-    return each.groupBy("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= 5)
+    return L.word_frequency(_docs(spark, sf_dir), 5, config=plain)
 
 
 NORMAL = r"""normal AS (SELECT doc_id AS doc, trim(regexp_replace(regexp_replace(lower(regexp_replace(text, '\s+', ' ', 'g')), '[^a-z0-9à-öø-ÿß ]', ' ', 'g'), ' +', ' ', 'g')) AS norm FROM documents),
@@ -405,8 +405,9 @@ def roots(spark, sf_dir):
 @query(f"WITH {SOURCES} SELECT name, origin AS item, coalesce(source || ':' || lang, '?') AS loc FROM sources LEFT JOIN (SELECT doc_id, source, lang FROM documents WHERE doc_id % 2 = 0) d ON d.doc_id = name WHERE origin IS NOT NULL")
 def located_issues(spark, sf_dir):
     items = _sources(spark, sf_dir).where("origin is not null").select("name", F.col("origin").alias("item"))
-    places = _table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("name"), F.concat_ws(":", "source", "lang").alias("place"))
-    return items.join(places, "name", "left").select("name", "item", F.coalesce("place", F.lit("?")).alias("loc"))
+    half = _table(spark, sf_dir, "documents").where("doc_id % 2 = 0")
+    places = half.select(F.col("doc_id").alias("name"), F.col("source").alias("file"), F.col("lang").alias("line"))
+    return logic.located(items, places).select("name", "item", "loc")
 
 
 # --- graph views and health ---
@@ -504,8 +505,12 @@ def side_by_side(spark, sf_dir):
 # --- forms ---
 
 
+def _all_forms(spark, sf_dir):
+    return _table(spark, sf_dir, "customer").select(F.lit("ln").alias("tag"), F.col("c_name").alias("name"), F.col("c_custkey").alias("value"))
+
+
 def _forms(spark, sf_dir):
-    n = _table(spark, sf_dir, "customer").select(F.lit("ln").alias("tag"), F.col("c_name").alias("name"), F.col("c_custkey").alias("value"))
+    n = _all_forms(spark, sf_dir)
     return n.where("value % 2 = 0"), n.where("value % 3 = 0")
 
 
@@ -589,7 +594,8 @@ def compiled_expression(spark, sf_dir):
 @query("SELECT o_orderkey, o_totalprice > (SELECT avg(o_totalprice) FROM orders) AS above FROM orders")
 def project_scalar(spark, sf_dir):
     o = _table(spark, sf_dir, "orders")
-    return o.crossJoin(F.broadcast(o.agg(F.avg("o_totalprice").alias("mean")))).select("o_orderkey", (F.col("o_totalprice") > F.col("mean")).alias("above"))
+    totals = System(spark, rows=o.agg(F.avg("o_totalprice").alias("mean")))
+    return System(spark, rows=o, scopes={"totals": totals}).select({"above": "(> o_totalprice (project totals mean))"}, keep=("o_orderkey",))
 
 
 # --- integrity and sources ---
@@ -658,12 +664,14 @@ def history_page(spark, sf_dir):
 # --- more of the search page, the lens and the sources ---
 
 
-@query(f"WITH {THE} SELECT doc, line FROM b WHERE line % 3 = 0 ORDER BY -1.0 / (line % 5 + 1), -(line % 4 + 1), doc, line LIMIT 30")
+@query(f"""WITH {THE} SELECT doc, line FROM b ORDER BY line % 3 <> 0, CASE WHEN line % 3 = 0 THEN -1.0 / (line % 5 + 1) ELSE 0 END, CASE WHEN line % 3 = 0 THEN -(line % 4 + 1) ELSE 0 END, doc, line
+ LIMIT greatest(30, (SELECT count(*) - 30 FROM b))""")
 def coverage_rank(spark, sf_dir):
-    hits = _phrase(spark, sf_dir, "tion").where("line % 3 = 0")
-    names = hits.select("doc", "line", F.explode(F.sequence(F.lit(0), F.col("line") % 4)).alias("k"))
+    hits = _phrase(spark, sf_dir, "tion").withColumn("ord", F.struct("doc", "line"))
+    names = hits.where("line % 3 = 0").select("doc", "line", F.explode(F.sequence(F.lit(0), F.col("line") % 4)).alias("k"))
     callers = names.select("doc", "line", F.concat(F.lit("f"), "k").alias("name"), (F.lit(1.0) / (F.col("line") % 5 + 1)).alias("overlap"))
-    return _key(search.limit(30, search.rank("coverage", search.with_callers(hits.withColumn("ord", F.struct("doc", "line")), callers))))
+    ranked = search.rank("coverage", search.with_callers(hits, callers))
+    return _key(search.limit(max(30, hits.count() - 30), ranked))
 
 
 @query(f"WITH {THE}, t AS (SELECT doc, line FROM b WHERE line % 2 = 0) SELECT (SELECT count(*) FROM b) AS rows, (SELECT count(DISTINCT doc % 7) FROM t) AS callers")
@@ -691,14 +699,14 @@ def form_keys(spark, sf_dir):
     return both.select("tag", forms.form_key(both).alias("key"))
 
 
-@query("SELECT (SELECT count(*) FROM customer WHERE c_custkey % 2 = 0) AS n")
+@query("SELECT count(*) AS n FROM customer")
 def count_forms(spark, sf_dir):
-    return forms.count_forms(_forms(spark, sf_dir)[0])
+    return forms.count_forms(_all_forms(spark, sf_dir))
 
 
-@query("SELECT c_name AS name FROM customer WHERE c_custkey % 2 = 0 ORDER BY c_custkey LIMIT 7")
+@query("SELECT c_name AS name FROM customer ORDER BY c_custkey LIMIT 7")
 def limit_forms(spark, sf_dir):
-    return forms.limit_forms(7, _forms(spark, sf_dir)[0], "value").select("name")
+    return forms.limit_forms(7, _all_forms(spark, sf_dir), "value").select("name")
 
 
 @query("WITH " + EDGES + " SELECT name, kind FROM nodes WHERE contains(kind, 'term')")
@@ -777,9 +785,10 @@ def merkle_proofs(spark, sf_dir):
     return leaf.where(I.verify_proof(F.col("content"), F.col("steps")) == F.col("root")).groupBy("conv_id").agg(F.count(F.lit(1)).alias("verified"))
 
 
-@query("SELECT source AS k, CAST(doc_id // 2 AS BIGINT) AS n, count(*) AS times FROM documents GROUP BY ALL HAVING count(*) > 1")
+@query("WITH d AS (SELECT source, doc_id FROM documents UNION ALL SELECT source, doc_id FROM documents WHERE doc_id % 7 = 0) SELECT source AS k, doc_id AS n, count(*) AS times FROM d GROUP BY ALL HAVING count(*) > 1")
 def duplicate_blocks(spark, sf_dir):
-    return I.duplicates(_table(spark, sf_dir, "documents").select(F.col("source").alias("k"), F.expr("doc_id div 2").alias("n")), "k")
+    blocks = _table(spark, sf_dir, "documents").select(F.col("source").alias("k"), F.col("doc_id").alias("n"))
+    return I.duplicates(blocks.unionAll(blocks.where("n % 7 = 0")), "k")
 
 
 @query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 1 THEN 'done' ELSE o_orderstatus END AS status FROM orders WHERE o_orderkey % 5 <> 0")
@@ -795,7 +804,8 @@ def reindex_incremental(spark, sf_dir):
     docs, last = _docs(spark, sf_dir), F.col("doc") % 10
     new = docs.where(last != 0).withColumn("text", F.when(last == 2, F.concat("text", F.lit(" zz"))).otherwise(F.col("text")))
     index = lambda d: d.select("doc", F.explode(F.split("text", " ")).alias("word"))
-    return D.reindex(docs.where(last != 1), new, index).groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
+    old = docs.where(last != 1)
+    return D.reindex(index(old), D.manifest(old), new, index).groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT doc_id AS doc FROM documents WHERE NOT regexp_matches(source, '^src1') AND source <> 'src3'")
@@ -817,9 +827,15 @@ def deduplicated_documents(spark, sf_dir):
     return Q.deduplicated(docs.unionAll(docs)).groupBy("doc").agg(F.count(F.lit(1)).alias("copies"))
 
 
+def _others() -> None:
+    from . import catalogue_programs, catalogue_sources  # noqa: F401  they register their queries here
+
+
 def queries() -> dict[str, Query]:
+    _others()
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    _others()
     return dict(_sql)

@@ -50,11 +50,27 @@ class Compiler:
     def compile(self, expr: Any) -> Column:
         if isinstance(expr, str) and not isinstance(expr, Symbol):
             expr = parse(expr)
-        expr = self.rules.rewrite(expr)
+        expr = self.rules.rewrite(self._equalities(expr))
         if self.strict and (bad := self.unknown(expr)):
             raise NameError(f"unknown names: {', '.join(sorted(bad))}")
         return self._typed(expr, {})[0]
 
+    def _formal(self, expr: Any) -> bool:
+        """Whether an expression has a head that nothing computes: it then stands for itself."""
+        if not isinstance(expr, tuple) or not expr or expr[0] == "quote":
+            return False
+        head = str(expr[0])
+        known = head in OPERATORS or head in FORMS or head in self.functions or head in self.columns or self.terms.get(head) is not None
+        return not known or any(map(self._formal, expr[1:]))
+
+    def _equalities(self, expr: Any) -> Any:
+        """F16: equalities of formal expressions that the rules lead to a common one are true."""
+        if not isinstance(expr, tuple) or not expr or expr[0] == "quote":
+            return expr
+        if expr[0] == "=" and len(expr) > 2 and any(map(self._formal, expr[1:])) and all(self.rules.joined(expr[1], x) for x in expr[2:]):
+            return True
+        return tuple(self._equalities(x) for x in expr)
+
     def _typed(self, expr: Any, env: dict[str, Typed]) -> Typed:
         if isinstance(expr, bool):
             return F.lit(expr), "boolean"
@@ -82,8 +98,10 @@ class Compiler:
             if len(kinds) > 1:
                 raise TypeError(f"a list of several kinds: {to_sexp(expr)}")
             return F.array(*[c for c, _ in items]), f"array of {kinds.pop()}"
-        if head in ("strict", "self", "project"):
-            return [self._typed(a, env) for a in args][-1]
+        if head == "self":
+            return [self._typed(self.rules.rewrite(a), env) for a in args][-1]
+        if head in ("strict", "project"):
+            return self._typed(args[-1], env)
         if head in self.terms and args and args[0] == ":bind":
             bound = {str(n): v for n, v in args[1]}
             return self._typed(self.rules.rewrite(substitute(self.terms[head], bound)), env)

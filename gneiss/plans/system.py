@@ -1,9 +1,11 @@
-"""Logic programs: directives in, tables out.
+"""Logic programs: directives in, tables out.
 
 The program itself is small and lives on the driver: names, expressions, rules, who uses whom. Values do not:
 every evaluation compiles to columns, over the rows of `rows` if there are any (each row is then an environment
 of its own, its columns facts), else over one row, and all terms, theorems and diffs of a program are evaluated
-by a single select. Quotes are verified by one join with the documents."""
+by a single select. Over rows, a theorem holds if it holds on every one of them, and a diff diverges if it does on any;
+`theorems_by_row` says where. Quotes are verified by one join with the documents. Programs of several modules are
+loaded by gneiss.plans.loader."""
 
 from __future__ import annotations
 
@@ -14,11 +16,14 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gneiss.operators import logic, quotes
+from gneiss.operators.graph import fuzzy
 
-from .compiler import OPERATORS, Compiler, Typed
+from .compiler import FORMS, OPERATORS, Compiler, Typed
 from .sexpr import Rules, Symbol, free_vars, keyword, parse, parse_all, substitute, symbols, to_sexp
 
 HEADS = ("fact", "axiom", "defterm", "derive", "diff")
+#: Effects that must run before a module's definitions.
+EARLY = ("import", "load-document")
 EVIDENCE_SCHEMA = "name string, doc string, quote string, caller string"
 SOURCE_SCHEMA = "name string, has_evidence boolean, manual boolean, origin string"
 
@@ -27,6 +32,32 @@ class ProgramError(ValueError):
     """A directive that can't be taken in; the line is part of the message."""
 
 
+def in_dependency_order(definitions: list[tuple[Any, int]]) -> list[tuple[Any, int]]:
+    """Definitions so that what one mentions stands before it, otherwise as they are written. Those of a cycle
+    stay in their order, and fail where they need one another."""
+    place = {str(e[1]): i for i, (e, _) in reversed(list(enumerate(definitions)))}
+    needs = [sorted(place[s] for s in symbols(e) - {str(e[1])} if s in place) for e, _ in definitions]
+    out: list[int] = []
+    done: set[int] = set()
+    for first in range(len(definitions)):
+        stack = [(first, iter(needs[first]))]
+        open_ = {first}
+        while stack:
+            i, rest = stack[-1]
+            if i in done:
+                stack.pop()
+                continue
+            step = next((j for j in rest if j not in done and j not in open_), None)
+            if step is None:
+                done.add(i)
+                out.append(i)
+                stack.pop()
+            else:
+                open_.add(step)
+                stack.append((step, iter(needs[step])))
+    return [definitions[i] for i in out]
+
+
 @dataclass
 class Entry:
     kind: str
@@ -52,41 +83,65 @@ class System:
     scopes: dict[str, System] = field(default_factory=dict)
     by_hand: set[str] = field(default_factory=set)
     errors: list[tuple[str, int, str, str]] = field(default_factory=list)
+    failed: dict[str, str] = field(default_factory=dict)
 
     # --- taking programs in ---
 
-    def load(self, source: str, module: str = "", lenient: bool = False) -> System:
-        """Execute directives in order; names get the module's prefix. With lenient, a directive
-        that fails is recorded, and what needs it is skipped with its root cause."""
+    def load(self, source: str, module: str = "", lenient: bool = False, resolve: Callable[[str, int], str] | None = None) -> System:
+        """Execute a program's directives; names get the module's prefix, other names what `resolve` makes
+        of them. As written, one after the other, and the first that fails ends the load; or, with lenient, imports
+        first, then definitions in the order of their dependencies, then other effects: one that fails is recorded,
+        and what needs it is skipped, with its root cause."""
         nodes = parse_all(source)
-        own = {str(e[1]) for e, _ in nodes if isinstance(e, tuple) and e and e[0] in HEADS}
-        rename = {n: Symbol(f"{module}.{n}") for n in own} if module else {}
-        failed: dict[str, str] = {}
-        for expr, line in nodes:
-            expr = self._renamed(expr, rename)
-            name = str(expr[1]) if isinstance(expr, tuple) and len(expr) > 1 else ""
-            needs = sorted((symbols(expr) - {name}) & failed.keys())
-            try:
-                if needs:
-                    raise ProgramError(f"skipped: {needs[0]} failed ({failed[needs[0]]})")
-                self._directive(expr, line, module)
-            except (ProgramError, NameError, TypeError, KeyError, IndexError) as e:
-                if not lenient:
+        own = {str(e[1]) for e, _ in nodes if isinstance(e, tuple) and len(e) > 1 and e[0] in HEADS}
+        prefixed = {n: Symbol(f"{module}.{n}") for n in own} if module else {}
+
+        def named(expr: Any, line: int) -> Any:
+            if isinstance(expr, Symbol):
+                name = str(expr)
+                return prefixed.get(name) or (Symbol(resolve(name, line)) if resolve and name not in own else expr)
+            return tuple(named(x, line) for x in expr) if isinstance(expr, tuple) else expr
+
+        if not lenient:
+            for expr, line in nodes:
+                try:
+                    self._directive(named(expr, line), line, module)
+                except (ProgramError, NameError, TypeError, KeyError, IndexError) as e:
                     raise ProgramError(f"line {line}: {e}") from e
-                root = failed[needs[0]] if needs else name
-                failed[name] = root
-                self.errors.append((name, line, "skipped" if needs else "error", root if needs else str(e)))
+            return self
+        defines = lambda e: isinstance(e, tuple) and len(e) > 1 and e[0] in HEADS
+        effects = [(e, line) for e, line in nodes if isinstance(e, tuple) and e and not defines(e)]
+        for expr, line in [x for x in effects if str(x[0][0]) in EARLY]:
+            self._attempt(expr, line, module)
+        definitions = [(named(e, line), line) for e, line in nodes if defines(e)]
+        seen: set[str] = set()
+        for expr, line in definitions:
+            if str(expr[1]) in seen:
+                self.errors.append((str(expr[1]), line, "warning", "duplicate name"))
+            seen.add(str(expr[1]))
+        for expr, line in in_dependency_order(definitions):
+            self._attempt(expr, line, module)
+        for expr, line in [x for x in effects if str(x[0][0]) not in EARLY]:
+            self._attempt(named(expr, line), line, module)
         return self
 
-    def _renamed(self, expr: Any, names: dict[str, Symbol]) -> Any:
-        if isinstance(expr, Symbol):
-            return names.get(str(expr), expr)
-        return tuple(self._renamed(x, names) for x in expr) if isinstance(expr, tuple) else expr
+    def _attempt(self, expr: Any, line: int, module: str) -> None:
+        """A directive of a lenient load."""
+        name = str(expr[1] if expr[0] in HEADS else expr[0])
+        needs = sorted((symbols(expr) - {name}) & self.failed.keys())
+        try:
+            if needs:
+                raise ProgramError(f"skipped: {needs[0]} failed ({self.failed[needs[0]]})")
+            self._directive(expr, line, module)
+        except (ProgramError, NameError, TypeError, KeyError, IndexError, ValueError) as e:
+            root = self.failed[needs[0]] if needs else name
+            if expr[0] in HEADS:
+                self.failed[name] = root
+            self.errors.append((name, line, "skipped" if needs else "error", root if needs else str(e)))
 
     def _directive(self, expr: Any, line: int, module: str) -> None:
         if not isinstance(expr, tuple) or not expr or expr[0] not in HEADS:
-            if isinstance(expr, tuple) and expr and str(expr[0]) in self.effects:
-                self.effects[str(expr[0])](self, *expr[1:])  # U7: on the driver, never in tasks
+            self.run(expr)
             return
         head, name = str(expr[0]), str(expr[1])
         if head == "diff":
@@ -102,6 +157,8 @@ class System:
         kind = {"fact": "fact", "axiom": "axiom", "derive": "theorem", "defterm": "term-fwd" if wff is None else "term-comp"}[head]
         if name in self.entries and not self.overridable:
             raise ProgramError(f"{name} exists already")
+        if kind == "term-comp" and self.strict and (unknown := self.undefined(wff)):
+            raise ProgramError(f"{name} mentions unknown names: {', '.join(sorted(unknown))}")
         if kind == "axiom" and not free_vars(wff):
             raise ProgramError(f"axiom {name} has no variable")
         if kind == "theorem":
@@ -114,6 +171,20 @@ class System:
                 raise ProgramError(f"{name} uses names that aren't in :using: {', '.join(sorted(hidden))}")
         self.entries[name] = Entry(kind, wff, using, None if found else (origin or (None if kind != "theorem" else "derived")), found, line, module)
 
+    def run(self, expr: Any) -> Any:
+        """An effect, on the driver, never in tasks. Its arguments are taken as they stand, quotes taken off;
+        (if effect a b) runs a or b by what the effect returns."""
+        if not isinstance(expr, tuple) or not expr:
+            return expr
+        head = str(expr[0])
+        if head == "if":
+            return self.run(expr[2] if self.run(expr[1]) else expr[3] if len(expr) > 3 else ())
+        if head in HEADS:
+            return self._directive(expr, 0, "")
+        if head in self.effects:
+            return self.effects[head](self, *[x[1] if isinstance(x, tuple) and len(x) == 2 and x[0] == "quote" else x for x in expr[1:]])
+        return None
+
     def instantiate(self, name: str, bound: dict[str, Any]) -> Any:
         """P10."""
         if name not in self.entries or self.entries[name].wff is None:
@@ -138,6 +209,7 @@ class System:
     def snapshot(self) -> System:
         """P25: a copy that later changes don't touch."""
         copied = System(self.spark, self.rows, self.documents, self.overridable, self.strict, dict(self.functions), dict(self.effects))
+        copied.errors, copied.failed = list(self.errors), dict(self.failed)
         copied.entries, copied.diffs, copied.scopes, copied.by_hand = dict(self.entries), dict(self.diffs), dict(self.scopes), set(self.by_hand)
         return copied
 
@@ -146,6 +218,13 @@ class System:
     def _names(self, expr: Any) -> set[str]:
         return symbols(expr) & self.entries.keys()
 
+    def undefined(self, expr: Any) -> set[str]:
+        """L2: names in an expression that stand for nothing here; single letters may."""
+        heads = {str(e.wff[1][0]) for e in self.entries.values() if isinstance(e.wff, tuple) and len(e.wff) == 3 and e.wff[0] == "=" and isinstance(e.wff[1], tuple)}
+        known = self.entries.keys() | self.functions.keys() | OPERATORS.keys() | FORMS | {"scope", "delegate"} | self.scopes.keys() | heads | _bound(expr)
+        columns = self.rows.columns if self.rows is not None else []
+        return {s for s in symbols(expr) - known - set(columns) if not (len(s) == 1 and s.isalpha())}
+
     def visible(self, using: tuple[str, ...]) -> set[str]:
         """L3: what `using` names mention, again and again. Theorems bring what they were derived from."""
         seen: set[str] = set()
@@ -189,6 +268,55 @@ class System:
         nodes = [(n, kind(e), to_sexp(e.wff) if e.wff is not None else None) for n, e in self.entries.items()]
         return self.spark.createDataFrame(nodes, "name string, kind string, value string"), self.spark.createDataFrame(self.edges(), "src string, dst string")
 
+    def probe(self, *names: str) -> tuple[DataFrame, DataFrame]:
+        """G1: nodes (name, kind, value, quotes) and edges (src, dst) of all that the names rest on: a theorem on what it
+        uses, a term on what it mentions, and __output__ on the names. Unknown names are left out."""
+        inputs: dict[str, list[str]] = {}
+        open_ = [n for n in names if n in self.entries]
+        while open_:
+            n = open_.pop()
+            if n not in inputs:
+                e = self.entries[n]
+                below = list(e.using) if e.kind == "theorem" else sorted(self._names(e.wff)) if e.kind == "term-comp" else []
+                inputs[n] = [b for b in below if b in self.entries]
+                open_ += inputs[n]
+        kind = lambda n: "calc" if self.entries[n].kind == "theorem" and not any(self.entries[u].kind == "axiom" for u in inputs[n]) else self.entries[n].kind
+        value = lambda n: to_sexp(self.entries[n].wff) if self.entries[n].wff is not None else ""
+        nodes = [(n, kind(n), value(n), [q for _, q in self.entries[n].quotes]) for n in sorted(inputs)] + [("__output__", "synthetic", "", [])]
+        edges = [(b, n) for n, below in inputs.items() for b in below] + [(n, "__output__") for n in names if n in inputs]
+        return self.spark.createDataFrame(nodes, "name string, kind string, value string, quotes array<string>"), self.spark.createDataFrame(edges, "src string, dst string")
+
+    def roots(self) -> list[str]:
+        """Names that no theorem uses and no term mentions."""
+        used = {u for e in self.entries.values() if e.kind == "theorem" for u in e.using} | {s for e in self.entries.values() if e.kind == "term-comp" for s in self._names(e.wff)}
+        return [n for n in self.entries if n not in used]
+
+    def dissect(self, diff: str) -> list[tuple[DataFrame, DataFrame]]:
+        """The two graphs of a diff, of what is replaced and of what stands for it."""
+        return self.compose(*self.diffs[diff])
+
+    def compose(self, *names: str) -> list[tuple[DataFrame, DataFrame]]:
+        """A graph for each name."""
+        return [self.probe(n) for n in names]
+
+    def inspect(self, name: str, most: int = 10) -> tuple[DataFrame, DataFrame] | list[str]:
+        """The graph of a name, or the names that an unknown one may have meant."""
+        if name in self.entries:
+            return self.probe(name)
+        names = self.spark.createDataFrame([(n,) for n in self.entries], "name string")
+        return [r["name"] for r in fuzzy(names, name, most).collect()]
+
+    def doc(self) -> DataFrame:
+        """P20: what a program may call: operators, forms and functions, by name."""
+        rows = [(n, "operator") for n in OPERATORS] + [(n, "form") for n in FORMS] + [(n, "function") for n in self.functions] + [(n, "effect") for n in self.effects]
+        return self.spark.createDataFrame(sorted(rows), "name string, kind string")
+
+    def contradictions(self) -> DataFrame:
+        """(expression, names) of closed expressions that the program gives as true in one place and false in
+        another, by (= expression true) and (= expression false)."""
+        said = [(to_sexp(e.wff[1]), n, e.wff[2]) for n, e in self.entries.items() if isinstance(e.wff, tuple) and len(e.wff) == 3 and e.wff[0] == "=" and isinstance(e.wff[2], bool)]
+        return logic.contradictions(self.spark.createDataFrame(said, "expression string, name string, value boolean"))
+
     # --- evaluation ---
 
     def rules(self, names: set[str] | None = None) -> Rules:
@@ -229,6 +357,12 @@ class System:
         if not isinstance(expr, tuple) or not expr or expr[0] == "quote":
             return expr
         head = str(expr[0])
+        if head == "strict":
+            body = self.resolved(expr[1], outer)
+            columns = set(self.rows.columns) if self.rows is not None else set()
+            return body if symbols(body) & columns else _literal(self.evaluate(body))
+        if head == "scope" and str(expr[1]) == "self":
+            return self.resolved(expr[2], (self, *outer))
         if head == "scope":
             inner = self.scopes.get(str(expr[1]))
             if inner is None:
@@ -281,14 +415,33 @@ class System:
         if not names:
             return self.spark.createDataFrame([], "name string, using array<string>, holds boolean, ungrounded array<string>, origin string")
         closed = {n: self.entries[n].wff for n in names if not free_vars(self.entries[n].wff)}
-        values = self.select(closed).first().asDict() if closed else {}
-        rows = [(n, list(self.entries[n].using), n not in closed or (values[n] is not None and values[n] is not False)) for n in names]
+        truths = self._truths(closed)
+        every = truths.agg(*[F.coalesce(F.bool_and(F.col(f"`{n}`")), F.lit(True)).alias(n) for n in closed]).first().asDict() if closed else {}
+        rows = [(n, list(self.entries[n].using), every.get(n, True)) for n in names]
         table = self.spark.createDataFrame(rows, "name string, using array<string>, truth boolean")
         return logic.derive(table, F.col("truth"), table, self.sources()).drop("truth")
 
+    def _truths(self, closed: dict[str, Any], keep: tuple[str, ...] = ()) -> DataFrame:
+        """A boolean column for each expression: false where its value is false or null."""
+        values = self.select(closed, keep)
+        kinds = {f.name: f.dataType.typeName() for f in values.schema}
+        col = lambda n: F.col(f"`{n}`")
+        return values.select(*keep, *[(F.coalesce(col(n), F.lit(False)) if kinds[n] == "boolean" else col(n).isNotNull()).alias(n) for n in closed])
+
+    def theorems_by_row(self, *keys: str) -> DataFrame:
+        """L7 over rows: (keys, name, holds): every closed theorem on every row, in one projection."""
+        closed = {n: e.wff for n, e in self.entries.items() if e.kind == "theorem" and not free_vars(e.wff)}
+        each = [F.struct(F.lit(n).alias("name"), F.col(f"`{n}`").alias("holds")) for n in closed]
+        return self._truths(closed, keys).select(*keys, F.explode(F.array(*each)).alias("t")).select(*keys, "t.*")
+
+    def rederive(self, *names: str) -> DataFrame:
+        """theorems() of some names; truth is computed with the taint, so one that doesn't hold stays so."""
+        return self.theorems().where(F.col("name").isin(*names))
+
     def diff_values(self) -> DataFrame:
-        """(diff, name, base, other, status): each diff's two values, and those of every dependent under
-        both, in one select. A dependent that can't be computed is compared as an expression."""
+        """(diff, name, base, other, status, divergent): each diff's two values, and those of every dependent
+        under both, in one select, and on how many rows they differ. Over several rows the values are those of one
+        on which they differ, if there is one. A dependent that can't be computed is compared as an expression."""
         made: dict[tuple[str, str], tuple[Any, Any]] = {}
         columns: dict[str, Any] = {}
         base, rows = self.compiler(), []
@@ -304,17 +457,22 @@ class System:
                     made[diff, name] = (f"a{len(made)}", f"b{len(made)}")
                 except (NameError, TypeError):
                     changed = to_sexp(substitute(self.entries[name].wff, {replace: Symbol(with_)}))
-                    rows.append((diff, name, to_sexp(self.entries[name].wff), changed))
+                    rows.append((diff, name, to_sexp(self.entries[name].wff), changed, int(changed != to_sexp(self.entries[name].wff))))
         if columns:
-            one = (self.rows if self.rows is not None else self.spark.range(1)).select(*[c.cast("string").alias(n) for n, c in columns.items()]).first()
-            rows += [(d, n, one[a], one[b]) for (d, n), (a, b) in made.items()]
+            # Compared by value; only what is shown becomes text.
+            base_rows = (self.rows if self.rows is not None else self.spark.range(1)).select(*[c.alias(n) for n, c in columns.items()])
+            differ = lambda a, b: ~F.col(a).eqNullSafe(F.col(b))
+            shown = lambda a, b: F.max(F.struct(differ(a, b).alias("d"), F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")))
+            asked = [x for a, b in made.values() for x in (shown(a, b).alias(a), F.count_if(differ(a, b)).alias(b))]
+            one = base_rows.agg(*asked).first()
+            rows += [(d, n, one[a]["a"] if one[a] else None, one[a]["b"] if one[a] else None, one[b]) for (d, n), (a, b) in made.items()]
         for diff, (replace, _) in self.diffs.items():
             for n, e in self.entries.items():
                 if replace in e.using and replace not in symbols(e.wff) and e.kind == "theorem":
-                    rows.append((diff, n, to_sexp(e.wff), f"<contaminated: uses {replace}>"))
-            rows += [(diff, d, f"diff({p[0]} vs {p[1]})", f"<contaminated: references {replace}>") for d, p in self.diffs.items() if d != diff and replace in p]
-        table = self.spark.createDataFrame(rows, "diff string, name string, base string, other string").distinct()
-        return table.withColumn("status", F.when(F.col("base").eqNullSafe(F.col("other")), "same").otherwise("divergent"))
+                    rows.append((diff, n, to_sexp(e.wff), f"<contaminated: uses {replace}>", 1))
+            rows += [(diff, d, f"diff({p[0]} vs {p[1]})", f"<contaminated: references {replace}>", 1) for d, p in self.diffs.items() if d != diff and replace in p]
+        table = self.spark.createDataFrame(rows, "diff string, name string, base string, other string, divergent long").distinct()
+        return table.withColumn("status", F.when(F.col("divergent") == 0, "same").otherwise("divergent"))
 
     def diff_report(self) -> DataFrame:
         """(name, item) of diffs: downstream or value divergence, or contamination alone."""
@@ -354,6 +512,14 @@ class System:
         return self.spark.createDataFrame(self.errors, "name string, line int, status string, cause string")
 
 
+def _bound(expr: Any) -> set[str]:
+    """Names that a let in the expression binds."""
+    if not isinstance(expr, tuple) or not expr:
+        return set()
+    own = {str(b[0]) for b in expr[1]} if expr[0] == "let" and len(expr) > 1 else set()
+    return own.union(*map(_bound, expr))
+
+
 def _literal(value: Any) -> Any:
     return tuple([Symbol("list"), *map(_literal, value)]) if isinstance(value, (list, tuple)) else value
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gneiss.plans.sexpr import Symbol
 
@@ -32,6 +32,26 @@ def loads(text: str) -> Any:
     return decode(json.loads(text))
 
 
+def symbol_json(name: Column) -> Column:
+    """IO11: a column of symbols as JSON."""
+    quoted = F.regexp_replace(name, r'(["\\])', r"\\$1")
+    return F.concat(F.lit(f'{{"{MARK}": "'), quoted, F.lit('"}'))
+
+
+def symbol_of(text: Column) -> Column:
+    return F.get_json_object(text, f"$.{MARK}")
+
+
+def rows_json(df: DataFrame) -> DataFrame:
+    """IO11: (json) of the rows of a result, a report or a table of issues; absent values are left out."""
+    return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("json"))
+
+
+def rows_of(table: DataFrame, schema: str) -> DataFrame:
+    """IO11: the rows of rows_json again."""
+    return table.select(F.from_json("json", schema).alias("r")).select("r.*")
+
+
 def program_table(spark: SparkSession, entries: dict[str, Any], diffs: dict[str, tuple[str, str]]) -> DataFrame:
     """IO10: a program as a table that a snapshot can hold."""
     rows = [(i, n, e.kind, dumps(e.wff), list(e.using), e.origin, [list(q) for q in e.quotes], e.line, e.module) for i, (n, e) in enumerate(entries.items())]

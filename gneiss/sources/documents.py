@@ -4,10 +4,17 @@ from __future__ import annotations
 
 import re
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
+from .shared import stored
+
 EXTENSIONS = ("py", "pltg", "md", "txt")
+# What counts as plain text when a file is taken in.
+PLAIN_EXTENSIONS = ("txt", "md", "rst", "csv", "json", "yaml", "yml", "toml", "py", "pltg", "pgmd", "html", "xml", "log")
+PLAIN_NAMES = ("readme", "license", "makefile", "dockerfile", "changelog")
 
 
 def load_document(spark: SparkSession, name: str, path: str) -> DataFrame:
@@ -75,12 +82,37 @@ def manifest_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("doc", change.alias("change")).where(F.col("change").isNotNull())
 
 
-def reindex(old_docs: DataFrame, new_docs: DataFrame, index_of) -> DataFrame:
-    """IO5, H11: the index rows (with a doc column) of unchanged documents, and fresh ones of the others."""
-    change = manifest_diff(manifest(old_docs), manifest(new_docs))
-    kept = index_of(old_docs.join(change, "doc", "left_anti"))
+def reindex(index: DataFrame, old: DataFrame, new_docs: DataFrame, index_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """IO5, H11: of a stored index (with a doc column) the rows of unchanged documents as they are, and fresh rows of
+    added and changed ones. old: the manifest of the documents that the index was made from."""
+    change = stored(manifest_diff(old, manifest(new_docs)))
     fresh = index_of(new_docs.join(change.where("change <> 'deleted'"), "doc", "left_semi"))
-    return kept.unionByName(fresh)
+    return index.join(change.where("change <> 'added'"), "doc", "left_anti").unionByName(fresh)
+
+
+def named_path(argument: str) -> tuple[str, str]:
+    """IO13: name:path, or a path whose file gives the name."""
+    if ":" in argument and not re.match(r"\w+://", argument):
+        name, path = argument.split(":", 1)
+        return name.strip(), path.strip()
+    return re.sub(r"\.[^.]*$", "", argument.rstrip("/").rsplit("/", 1)[-1]), argument
+
+
+def plain(path: Column) -> Column:
+    """IO13: whether a file is taken in as plain text, by its extension or name."""
+    name = F.lower(F.element_at(F.split(path, "/"), -1))
+    ending = F.when(F.contains(name, F.lit(".")), F.element_at(F.split(name, r"\."), -1)).otherwise("")
+    return ending.isin(*PLAIN_EXTENSIONS) | name.isin(*PLAIN_NAMES)
+
+
+def ingest(spark: SparkSession, *arguments: str) -> DataFrame:
+    """IO13: (doc, path, text, error) of files; what isn't plain text gets an error in place of its text."""
+    named = spark.createDataFrame([(n, p) for n, p in map(named_path, arguments)], "doc string, path string")
+    files = spark.read.text([p for _, p in map(named_path, arguments)], wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    found = named.join(files, F.endswith("file", F.col("path")), "left")
+    return found.select(
+        "doc", "path", F.when(plain(F.col("path")), F.col("value")).alias("text"), F.when(~plain(F.col("path")), F.concat(F.lit("unsupported document format: "), "path")).alias("error")
+    )
 
 
 def save_snapshot(tables: dict[str, DataFrame], folder: str, version: str) -> None:
@@ -126,3 +158,18 @@ def markdown_blocks(docs: DataFrame) -> DataFrame:
         )
         .where(F.trim("body") != "")
     )
+
+
+def history_get(runs: DataFrame, key: str, name: object) -> DataFrame:
+    """IO14: one run."""
+    return runs.where(F.col(key) == F.lit(name))
+
+
+def history_clear(runs: DataFrame, project: str | None = None) -> DataFrame:
+    """IO14: no runs, or those of other projects."""
+    return runs.limit(0) if project is None else runs.where(~F.col("project").eqNullSafe(F.lit(project)))
+
+
+def projects(runs: DataFrame) -> DataFrame:
+    """IO14: each project with its number of runs and its last one."""
+    return runs.groupBy("project").agg(F.count(F.lit(1)).alias("runs"), F.max("id").alias("last"))

@@ -13,13 +13,16 @@ def document_stream(spark: SparkSession, folder: str, schema: str) -> DataFrame:
 
 
 def reindex_stream(
-    docs: DataFrame, index_of: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str, seconds: int | None = None
+    docs: DataFrame, index_of: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str, seconds: int | None = None, key: str = "doc"
 ) -> StreamingQuery:
-    """Each batch's index goes to folder/batch=N, replacing what an earlier try of that batch left: a batch that
-    runs twice counts once. A document's latest batch holds (`current`)."""
+    """docs (doc, text, and `deleted` if documents go). Each batch's index goes to folder/index/batch=N, and the
+    documents that it saw to folder/seen/batch=N, replacing what an earlier try of that batch left: a batch that runs
+    twice counts once. A document's latest batch holds (`current`), also where it has no index rows any more."""
 
     def upsert(batch: DataFrame, n: int) -> None:
-        index_of(batch).write.mode("overwrite").parquet(f"{folder}/batch={n}")
+        kept = batch.where(~F.coalesce("deleted", F.lit(False))) if "deleted" in batch.columns else batch
+        index_of(kept).write.mode("overwrite").parquet(f"{folder}/index/batch={n}")
+        batch.select(key).distinct().write.mode("overwrite").parquet(f"{folder}/seen/batch={n}")
 
     out = docs.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
     out = out.trigger(processingTime=f"{seconds} seconds") if seconds else out.trigger(availableNow=True)
@@ -28,9 +31,8 @@ def reindex_stream(
 
 def current(spark: SparkSession, folder: str, key: str = "doc") -> DataFrame:
     """Index rows of each document's latest batch."""
-    rows = spark.read.parquet(folder)
-    last = rows.groupBy(key).agg(F.max("batch").alias("batch"))
-    return rows.join(last, [key, "batch"], "left_semi").drop("batch")
+    last = spark.read.parquet(f"{folder}/seen").groupBy(key).agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{folder}/index").join(last, [key, "batch"], "left_semi").drop("batch")
 
 
 def windowed_counts(events: DataFrame, ts: str, by: str, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -1,10 +1,13 @@
+import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from gneiss.functions import arrays as A, normalize as N
-from gneiss.operators import forms, graph as G, integrity as I, lines as L, logic, quotes as Q, search
-from gneiss.sources import documents as D, references as R
+from gneiss.operators import forms, graph as G, indexed, integrity as I, lines as L, logic, quotes as Q, search
+from gneiss.sources import documents as D, packages, references as R
+from gneiss.sources.shared import listing, positioned, spread
 from gneiss.streaming import reindex
 
 TEXT = "  The 1. first item (about 3,000 units) is well-\nknown. It’s — truly — a multi-level case.\n  2. Second   item:\n reaches 3.14 percent."
@@ -139,3 +142,90 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([("a", "four")], "doc string, text string").write.mode("append").parquet(str(tmp_path / "in"))
     run()
     assert {(r.doc, r.word) for r in reindex.current(spark, str(tmp_path / "out")).collect()} == {("a", "four"), ("b", "two")}
+
+
+def test_large_trees_fold_as_by_hand(spark):
+    sizes = {1: 1, 2: 2, 3: 3, 4: 1024, 5: 1025, 6: 2500}
+    leaves = spark.createDataFrame([(k, p, f"{k}.{p}") for k, n in sizes.items() for p in range(n)], "k int, pos long, content string")
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = {}
+    for k, n in sizes.items():
+        level, row = 0, [sha(f"{k}.{p}") for p in range(n)]
+        want |= {(k, level, p): h for p, h in enumerate(row)}
+        while len(row) > 1:
+            row = [sha(row[i] + row[i + 1]) if i + 1 < len(row) else row[i] for i in range(0, len(row), 2)]
+            level += 1
+            want |= {(k, level, p): h for p, h in enumerate(row)}
+    assert {(r.k, r.level, r.pos): r.hash for r in I.merkle(leaves, "k").collect()} == want
+
+
+def test_the_index_finds_what_the_texts_hold(spark):
+    random.seed(8)
+    texts = ["".join(random.choices(["ab ", "abc", "\n", "b-\nc ", "c. ", "  ", "AB "], k=40)) for _ in range(30)] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc int, text string")
+    index = indexed.build_index(docs).cache()
+    keys = lambda p: sorted((r.doc, r.line, r.column, r.context) for r in p.collect())
+    for phrase in ("ab", "b abc", "c ab b", "bc c", "?", "zz"):
+        assert keys(indexed.indexed_phrase(index, phrase)) == keys(L.normal_phrase_lines(docs, phrase)), phrase
+
+
+def test_stopwords_in_places_and_columns_agree(spark):
+    config = N.Config(remove_stopwords=True)
+    random.seed(3)
+    texts = [" ".join(random.choices(["the", "And", "house", "is", "of-the", "but", "not", "\n"], k=9)) for _ in range(60)] + ["the", "The and", ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = {r.i: r.n for r in df.select("i", N.normalized(F.col("text"), config).alias("n")).collect()}
+    for i, t in enumerate(texts):
+        p = Q.placed(t, config)
+        assert got[i] == p.text and len(p.at) == len(p.text), t
+
+
+def test_packages_and_stores(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "one two"), ("b", "two"), ("c", None)], "doc string, text string")
+    store = packages.Store(spark, str(tmp_path / "s"), L.word_postings)
+    assert [store.prepare(docs)[1], store.prepare(docs)[1]] == ["cold", "memory"]
+    changed = docs.where("doc <> 'a'").unionByName(spark.createDataFrame([("d", "new")], "doc string, text string"))
+    other = packages.Store(spark, str(tmp_path / "s"), L.word_postings)
+    index, how = other.prepare(changed)
+    assert how == "patched" and {(r.doc, r.word) for r in index.collect()} == {("b", "two"), ("d", "new")}
+    assert other.divergence(changed).first().asDict() == {"missing": 0, "extra": 0}
+    assert len(listing(spark, str(tmp_path / "s"))) == 2 and listing(spark, str(tmp_path / "none")) == []
+    assert packages.root_of(D.manifest(docs.limit(0))) == "empty"
+    packages.write_package({"t": docs}, str(tmp_path / "p"))
+    docs.withColumn("text", F.lit("x")).write.mode("overwrite").parquet(str(tmp_path / "p" / "t"))
+    with pytest.raises(packages.DamagedPackage):
+        packages.read_package(spark, str(tmp_path / "p"))
+
+
+def test_positions_and_spreading(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"))
+    assert sorted((r.k, r.pos) for r in positioned(df, ["k"]).collect()) == [(i, i) for i in range(1000)]
+    one = df.coalesce(1)
+    assert spread(one, "k").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = df.repartition(64)
+    assert spread(many, "k") is many
+
+
+def test_companions(spark):
+    source = spark.createDataFrame([("f", n, f"block {n}") for n in range(4)], "doc string, n long, content string")
+    made = I.build_chains(source, "doc", "n", "content").withColumn("place", F.col("n").cast("int"))
+    text = I.write_companion(made).first().text
+    assert text.count(";; @@block") == 4 and text.endswith(";; @@end 3\n")
+    read = I.parse_companion(spark.createDataFrame([("f", text + ";; a comment\n")], "doc string, text string"))
+    assert sorted((r.n, r.content) for r in read.collect()) == [(n, f"block {n}") for n in range(4)]
+    status = lambda c: [r.status for r in I.check_integrity(source, c, "doc").orderBy("n").collect()]
+    assert status(read) == ["valid"] * 4
+    assert status(read.where("n <> 1")) == ["valid", "invalid", "stale", "stale"]
+    rows = spark.createDataFrame([(1, ""), (2, None), (3, text), (4, "plain"), (5, text + "stray"), (6, text + ";; fine")], "i int, t string")
+    assert {r.i for r in rows.where(I.corrupted(F.col("t"))).collect()} == {4, 5}
+
+
+def test_a_stream_forgets_documents(spark, tmp_path):
+    put = lambda name, rows: spark.createDataFrame(rows, "doc string, text string, deleted boolean").write.parquet(str(tmp_path / "in" / name))
+    source = lambda: reindex.document_stream(spark, str(tmp_path / "in" / "*"), "doc string, text string, deleted boolean")
+    run = lambda: reindex.reindex_stream(source(), L.word_postings, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    put("a", [("a", "one", False), ("b", "two", False), ("c", "three", None)])
+    run()
+    put("b", [("a", "one", True), ("b", "", False)])
+    run()
+    assert {(r.doc, r.word) for r in reindex.current(spark, str(tmp_path / "out")).collect()} == {("c", "three")}

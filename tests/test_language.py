@@ -43,9 +43,14 @@ def test_match_and_substitute():
 
 def test_rules():
     r = Rules()
-    r.add("(= (sum-all ?x) ?x)")
-    r.add("(= (sum-all ?x ?...r) (+ ?x (sum-all ?...r)))")
-    assert r.rewrite(parse("(sum-all 1 2 3)")) == 6
+    r.add("(= (digits ?n) ?n)")
+    r.add("(= (digits ?n ?d ?...more) (digits (+ (* ?n 10) ?d) ?...more))")
+    assert r.rewrite(parse("(digits 1 2 3)")) == 123
+    assert [len(r.candidates(parse(e))) for e in ("(digits 1)", "(digits 1 2)", "(other 1)")] == [2, 1, 0]
+    assert r.rewrite(parse("(self (digits 1 2))")) == parse("(self (digits 1 2))")
+    swap = Rules()
+    swap.add("(= (pair ?a ?b) (pair ?b ?a))")
+    assert swap.joined(parse("(f (pair 1 2))"), parse("(f (pair 2 1))")) and not swap.joined(parse("(pair 1 2)"), parse("(pair 1 1)"))
     loop = Rules()
     loop.add("(= (f ?x) (f ?x))")
     with pytest.raises((RewriteLimitError, RecursionError)):
