@@ -5,25 +5,15 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-ROW_BITS = 33  # monotonically_increasing_id() holds the partition above these bits
-
+from gneiss.sources.shared import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-        if not folder:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gneiss-"))
-            folder = spark.sparkContext.getCheckpointDir()
-    return folder.rstrip("/")
+ROW_BITS = 33  # monotonically_increasing_id() holds the partition above these bits
 
 
 def new_path(spark: SparkSession, name: str) -> str:
