@@ -4,7 +4,8 @@
 failure bits. A policy is a version and a mask over the bits: applying it, or a new version of it, is
 one bitwise AND over the stored bits and reads no text. `ablation` counts, from the bits alone, what
 each rule rejects and what it alone rejects; rows are first summed by bit pattern (at most 2 ** rules
-patterns), so hot sources or copies never meet in one task.
+patterns), so hot sources or copies never meet in one task. The ledger holds rules that no policy uses yet: what
+they would reject is known before they are taken in.
 
 Words are runs of bytes other than space and \\x09-\\x0D. Repeated words are those inside any window of
 eight words that occurs twice or more in the text. Windows are compared by a 64-bit hash first; every
@@ -25,14 +26,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import small_batches
+from .common import release_memory, small_batches, stored
 
 SYMBOLS = b"#*$%&|<>"
 WHITE = b" \t\n\x0b\x0c\r"
 NOT_A_WORD_POINT = WHITE + bytes(range(0x80, 0xC0))  # white space, and bytes that continue a code point
 WINDOW = 8
 SLICE_BYTES = 8 << 20
+DIGITS, UPPER = b"0123456789", bytes(range(65, 91))
+BULLETS = (b"-", b"*", b"\xe2\x80\xa2")
+ELLIPSES = (b"...", b"\xe2\x80\xa6")
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+#: Measures that rules use beside those of the contract.
+MORE = ["n_lines", "n_digits", "n_upper", "n_bullets", "n_ellipses", "n_braces", "longest_line"]
 
 #: (name, failing condition as SQL over the measures); the position is the bit.
 RULES: tuple[tuple[str, str], ...] = (
@@ -41,6 +47,13 @@ RULES: tuple[tuple[str, str], ...] = (
     ("symbols", "10 * n_symbols > n_words"),
     ("duplicate_lines", "100 * n_dup_lines > 30 * n_lines"),
     ("long_words", "word_chars > 10 * n_words"),
+    ("short_words", "word_chars < 2 * n_words"),
+    ("digits", "100 * n_digits > 30 * word_chars"),
+    ("upper_case", "100 * n_upper > 50 * word_chars"),
+    ("bullets", "100 * n_bullets > 90 * n_lines"),
+    ("ellipses", "100 * n_ellipses > 30 * n_lines"),
+    ("braces", "100 * n_braces > n_words"),
+    ("one_line", "longest_line > 100000"),
 )
 
 
@@ -56,7 +69,14 @@ class Policy:
 
 
 BASE = Policy("base", ("few_words", "repeated_words"))
-POLICIES = {p.version: p for p in (BASE, Policy("v1", tuple(name for name, _ in RULES)))}
+POLICIES = {
+    p.version: p
+    for p in (
+        BASE,
+        Policy("v1", ("few_words", "repeated_words", "symbols", "duplicate_lines", "long_words")),
+        Policy("all", tuple(name for name, _ in RULES)),
+    )
+}
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -126,6 +146,12 @@ def measure(texts: list[str | None]) -> dict[str, np.ndarray]:
         "n_dup_lines": count(len(x) - len(set(x)) for x in lines),
         "n_repeat_words": repeat_words(words),
         "n_lines": count(map(len, lines)),
+        "n_digits": count(len(b) - len(b.translate(None, DIGITS)) for b in raw),
+        "n_upper": count(len(b) - len(b.translate(None, UPPER)) for b in raw),
+        "n_bullets": count(sum(x.lstrip().startswith(BULLETS) for x in own) for own in lines),
+        "n_ellipses": count(sum(x.rstrip().endswith(ELLIPSES) for x in own) for own in lines),
+        "n_braces": count(b.count(b"{") + b.count(b"}") for b in raw),
+        "longest_line": count(max(map(len, own), default=0) for own in lines),
     }
 
 
@@ -149,6 +175,7 @@ def _measured(names: list[str], text_col: str):
                 got = measure(texts.slice(at, end - at).to_pylist())
                 kept = [b.column(b.schema.get_field_index(c)).slice(at, end - at) for c in names]
                 yield pa.RecordBatch.from_arrays([*kept, *(pa.array(v) for v in got.values())], names=[*names, *got])
+        release_memory()
 
     return run
 
@@ -161,7 +188,7 @@ def ledger(docs: DataFrame, text_col: str = "text", keep: list[str] | None = Non
     wanted = list(dict.fromkeys([*names, text_col]))
     got = docs.select(*[F.col(f"`{c}`") for c in wanted]).mapInArrow(
         _measured([f.name for f in docs.schema if f.name in names], text_col),
-        fields + "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long",
+        fields + ", ".join(f"{m} long" for m in [*MEASURES, *MORE]),
     )
     bits: Column = F.lit(0).cast("long")
     for i, (_, fails) in enumerate(RULES):
@@ -192,12 +219,37 @@ def ablation(ledger_df: DataFrame, policy: Policy) -> DataFrame:
     )
 
 
+def stored_ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ledger of documents as a table in the shared folder: id, measures, bits. Policies and ablations read it."""
+    return stored(ledger(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), keep=["doc_id"]), "quality-ledger")
+
+
 def quality_rules(docs: DataFrame, policy: Policy = POLICIES["v1"]) -> DataFrame:
-    got = verdicts(ledger(docs, keep=["doc_id"]), policy)
-    return got.select("doc_id", *MEASURES, rejected(BASE).alias("base_failed"), "kept", "failed", "n_lines")
+    got = verdicts(stored_ledger(docs), policy)
+    return got.select("doc_id", *MEASURES, rejected(BASE).alias("base_failed"), "kept", "failed", *MORE)
 
 
 def drop_rejected(docs: DataFrame, policy: Policy = POLICIES["v1"], text_col: str = "text") -> DataFrame:
     """The documents that the policy keeps, with their own columns, whatever those are called."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
     return ledger(rows, keep=["row"]).where(~rejected(policy)).select("row.*")
+
+
+_TESTS = " + ".join(f"CASE WHEN {fails} THEN {1 << i} ELSE 0 END" for i, (_, fails) in enumerate(RULES))
+#: quality_rules with the policy v1 over the table documents.
+ORACLE = rf"""
+WITH t AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS x FROM documents),
+w AS (SELECT id, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w FROM t),
+g AS (SELECT id, i, w[i:i + {WINDOW - 1}] AS g FROM (SELECT id, w, unnest(generate_series(1, len(w) - {WINDOW - 1})) AS i FROM w)),
+often AS (SELECT id, g FROM g GROUP BY ALL HAVING count(*) > 1),
+r AS (SELECT id, count(DISTINCT p) AS n FROM (SELECT id, unnest(generate_series(i, i + {WINDOW - 1})) AS p FROM g JOIN often USING (id, g)) GROUP BY id),
+l AS (SELECT id, list_filter(string_split(x, chr(10)), lambda y: regexp_matches(y, '[^\x20\x09-\x0D]')) AS l FROM t),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda y: length(y))), 0) AS BIGINT) AS word_chars,
+ length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, CAST(len(l) AS BIGINT) AS n_lines,
+ length(regexp_replace(x, '[^0-9]', '', 'g')) AS n_digits, length(regexp_replace(x, '[^A-Z]', '', 'g')) AS n_upper,
+ CAST(len(list_filter(l, lambda y: regexp_matches(y, '^[\x20\x09-\x0D]*[-*•]'))) AS BIGINT) AS n_bullets, CAST(len(list_filter(l, lambda y: regexp_matches(y, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS BIGINT) AS n_ellipses,
+ length(regexp_replace(x, '[^{{}}]', '', 'g')) AS n_braces, CAST(coalesce(list_max(list_transform(l, lambda y: strlen(y))), 0) AS BIGINT) AS longest_line
+ FROM t JOIN w USING (id) JOIN l USING (id) LEFT JOIN r USING (id)),
+b AS (SELECT *, CAST({_TESTS} AS BIGINT) AS failed FROM m)
+SELECT doc_id, {", ".join(MEASURES)}, failed & {BASE.mask} <> 0 AS base_failed, failed & {POLICIES["v1"].mask} = 0 AS kept, failed, {", ".join(MORE)} FROM b
+"""
