@@ -61,10 +61,55 @@ SENTENCES = {
     "bsd-endorse": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
     "bsd-warranty": ['THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'],
     "mpl2-subject": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-    "spdx-mit": ["SPDX-License-Identifier: MIT"],
-    "spdx-apache2": ["SPDX-License-Identifier: Apache-2.0"],
-    "spdx-gpl3": ["SPDX-License-Identifier: GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-or-later"],
+    "mpl2-copy": ["If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+    "isc-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "isc-warranty": ['THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.'],
+    "isc-liability": ["IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."],
+    "isc-notice": ["Licensed under the ISC License.", "ISC License"],
+    "unlicense-free": ["This is free and unencumbered software released into the public domain."],
+    "unlicense-anyone": ["Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
+    "zlib-warranty": ["This software is provided 'as-is', without any express or implied warranty."],
+    "zlib-liability": ["In no event will the authors be held liable for any damages arising from the use of this software."],
+    "zlib-grant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
+    "boost-notice": ["Distributed under the Boost Software License, Version 1.0.", "Boost Software License - Version 1.0 - August 17th, 2003"],
+    "bsd-liability": ["IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."],
+    "bsd2-notice": ["BSD 2-Clause License", "Licensed under the BSD 2-Clause License."],
+    "bsd3-notice": ["BSD 3-Clause License", "Licensed under the BSD 3-Clause License."],
+    "gpl1-redistribute": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 1, or (at your option) any later version."],
+    "gpl2-only": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."],
+    "gpl3-only": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3."],
+    "gpl-received-long": ["You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."],
+    "gpl-see": ["If not, see <https://www.gnu.org/licenses/>.", "If not, see <http://www.gnu.org/licenses/>."],
+    "agpl3-redistribute": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "agpl-details": ["See the GNU Affero General Public License for more details."],
+    "agpl-received": ["You should have received a copy of the GNU Affero General Public License along with this program."],
+    "lgpl2-redistribute": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
+    "lgpl21-redistribute": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "lgpl3-redistribute": ["This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "lgpl-hope": ["This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."],
+    "lgpl-details": ["See the GNU Lesser General Public License for more details.", "See the GNU Library General Public License for more details."],
+    "gfdl-grant": ["Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any later version published by the Free Software Foundation;", "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.2 or any later version published by the Free Software Foundation;"],
+    "epl2-notice": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
+    "cc-by-sa4-notice": ["Licensed under CC BY-SA 4.0.", "This work is licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "cc-by-nd4-notice": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
+    "verbatim": ["Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."],
+    "apache2-title": ["Apache License Version 2.0, January 2004"],
+    "gpl1-title": ["GNU GENERAL PUBLIC LICENSE Version 1, February 1989"],
+    "gpl2-title": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "gpl3-title": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "lgpl2-title": ["GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "lgpl21-title": ["GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"],
+    "lgpl3-title": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "agpl3-title": ["GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"],
+    "gfdl13-title": ["GNU Free Documentation License Version 1.3, 3 November 2008"],
+    "mpl2-title": ["Mozilla Public License Version 2.0"],
+    "artistic2-title": ["The Artistic License 2.0"],
+    "epl2-title": ["Eclipse Public License - v 2.0"],
+    "cc0-title": ["CC0 1.0 Universal", "Creative Commons Legal Code CC0 1.0 Universal"],
 }
+#: Identifiers of the SPDX list: a line "SPDX-License-Identifier: X" is a sentence of its own.
+SPDX = ("MIT", "Apache-2.0", "GPL-1.0-or-later", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "0BSD", "ISC", "MPL-2.0", "Unlicense", "Zlib", "BSL-1.0", "EPL-2.0", "Artistic-2.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0")
+SENTENCES |= {f"spdx-{x.lower()}": [f"SPDX-License-Identifier: {x}"] for x in SPDX}
 #: Rules in order: (licence, sentences side by side). Longer evidence comes before what it contains.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("MIT", ("mit-notice", "mit-grant", "mit-condition", "mit-warranty", "mit-liability")),
@@ -77,20 +122,73 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("GPL-3.0-or-later", ("gpl-redistribute",)),
     ("GPL-2.0-or-later", ("gpl2-redistribute", "gpl-hope", "gpl-details")),
     ("GPL-2.0-or-later", ("gpl2-redistribute",)),
+    ("GPL-3.0-only", ("gpl3-only", "gpl-hope", "gpl-details")),
+    ("GPL-3.0-only", ("gpl3-only",)),
+    ("GPL-2.0-only", ("gpl2-only", "gpl-hope", "gpl-details")),
+    ("GPL-2.0-only", ("gpl2-only",)),
+    ("GPL-1.0-or-later", ("gpl1-redistribute", "gpl-hope", "gpl-details")),
+    ("GPL-1.0-or-later", ("gpl1-redistribute",)),
+    ("AGPL-3.0-or-later", ("agpl3-redistribute", "gpl-hope", "agpl-details", "agpl-received")),
+    ("AGPL-3.0-or-later", ("agpl3-redistribute", "gpl-hope", "agpl-details")),
+    ("AGPL-3.0-or-later", ("agpl3-redistribute",)),
+    ("LGPL-3.0-or-later", ("lgpl3-redistribute", "lgpl-hope", "lgpl-details")),
+    ("LGPL-3.0-or-later", ("lgpl3-redistribute",)),
+    ("LGPL-2.1-or-later", ("lgpl21-redistribute", "lgpl-hope", "lgpl-details")),
+    ("LGPL-2.1-or-later", ("lgpl21-redistribute",)),
+    ("LGPL-2.0-or-later", ("lgpl2-redistribute", "lgpl-hope", "lgpl-details")),
+    ("LGPL-2.0-or-later", ("lgpl2-redistribute",)),
+    ("BSD-3-Clause", ("bsd3-notice", "bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-warranty", "bsd-liability")),
+    ("BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-warranty", "bsd-liability")),
     ("BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-warranty")),
+    ("BSD-2-Clause", ("bsd2-notice", "bsd-redistribution", "bsd-source", "bsd-binary", "bsd-warranty", "bsd-liability")),
+    ("BSD-2-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-warranty", "bsd-liability")),
     ("BSD-2-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-warranty")),
+    ("ISC", ("isc-notice", "isc-grant", "isc-warranty", "isc-liability")),
+    ("ISC", ("isc-grant", "isc-warranty", "isc-liability")),
+    ("ISC", ("isc-grant", "isc-warranty")),
+    ("Unlicense", ("unlicense-free", "unlicense-anyone")),
+    ("Unlicense", ("unlicense-free",)),
+    ("Zlib", ("zlib-warranty", "zlib-liability", "zlib-grant")),
+    ("MPL-2.0", ("mpl2-subject", "mpl2-copy")),
     ("MPL-2.0", ("mpl2-subject",)),
-    ("MIT", ("spdx-mit",)),
-    ("Apache-2.0", ("spdx-apache2",)),
-    ("GPL-3.0", ("spdx-gpl3",)),
+    ("GPL-3.0", ("gpl3-title", "verbatim")),
+    ("GPL-2.0", ("gpl2-title", "verbatim")),
+    ("GPL-1.0", ("gpl1-title", "verbatim")),
+    ("LGPL-2.0", ("lgpl2-title", "verbatim")),
+    ("LGPL-2.1", ("lgpl21-title", "verbatim")),
+    ("LGPL-3.0", ("lgpl3-title", "verbatim")),
+    ("AGPL-3.0", ("agpl3-title", "verbatim")),
+    ("GFDL-1.3", ("gfdl13-title", "verbatim")),
+    ("GFDL", ("gfdl-grant",)),
+    *((f"{name}", (f"spdx-{name.lower()}",)) for name in SPDX),
+    ("GPL-3.0", ("gpl3-title",)),
+    ("GPL-2.0", ("gpl2-title",)),
+    ("GPL-1.0", ("gpl1-title",)),
+    ("LGPL-2.0", ("lgpl2-title",)),
+    ("LGPL-2.1", ("lgpl21-title",)),
+    ("LGPL-3.0", ("lgpl3-title",)),
+    ("AGPL-3.0", ("agpl3-title",)),
+    ("GFDL-1.3", ("gfdl13-title",)),
+    ("Apache-2.0", ("apache2-title",)),
+    ("MPL-2.0", ("mpl2-title",)),
+    ("Artistic-2.0", ("artistic2-title",)),
+    ("EPL-2.0", ("epl2-title",)),
+    ("EPL-2.0", ("epl2-notice",)),
+    ("CC0-1.0", ("cc0-title",)),
+    ("BSL-1.0", ("boost-notice",)),
+    ("BSD-3-Clause", ("bsd3-notice",)),
+    ("BSD-2-Clause", ("bsd2-notice",)),
+    ("ISC", ("isc-notice",)),
     ("MIT", ("mit-notice",)),
     ("Apache-2.0", ("apache2-notice",)),
     ("GPL-3.0", ("gpl3-notice",)),
     ("CC-BY-NC-4.0", ("cc-by-nc4-notice",)),
+    ("CC-BY-SA-4.0", ("cc-by-sa4-notice",)),
+    ("CC-BY-ND-4.0", ("cc-by-nd4-notice",)),
     ("CC-BY-4.0", ("cc-by4-notice",)),
     ("CC0-1.0", ("cc0-notice",)),
 )
-ANCHORS = ("license", "permission", "redistribut", "copyright", "liable", "software", "warrant", "cc by")
+ANCHORS = ("license", "permission", "redistribut", "copyright", "liable", "software", "warrant", "cc by", "mpl", "gnu", "cc0")
 BREAKS = re.compile(r"[^a-z0-9]+")
 #: What stands before a clause of a list: 1. 12) (3) a. b) (iv) and the like, with marks of a comment before it.
 MARKER = re.compile(r"[^\w(\[]*[(\[]?(?:\d{1,3}|[a-z]|[ivx]{1,4})[.):\]]+\s*", re.IGNORECASE)
