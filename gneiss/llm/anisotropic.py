@@ -12,10 +12,11 @@ A search goes through the codes of all vectors: two four-bit codes make one byte
 table of 256 sums for each two subspaces. The vectors of the `rerank` codes of a block that are best by these
 sums, and of all that tie with the last, are scored exactly, in double precision, on the original vectors; so a
 group of copies is scored as a whole and takes one place. Each task passes on the k best of each query, and the
-last step ranks those. Queries are taken in chunks of a bounded number, each of which is broadcast; the search is the
-stated query set against all rows, in blocks, and never a join of all pairs.
+last step ranks those. Queries are taken in chunks of bounded size, each of which goes out with its job, and each
+job adds its part to one table; the search is the stated query set against all rows, in blocks, and never a join of
+all pairs.
 
-Results for odd input: vectors that are null, empty, zero, of another dimension than most of the sample, or
+Results for odd input: rows with a null id, and vectors that are null, empty, zero, of another dimension than most of the sample, or
 that hold a null or a component that isn't finite take no part; equal vectors tie and rank by vec_id, repeated
 rows of one vec_id are one vector of the index each, and one query with k neighbours of its own each; an empty
 table gives no rows.
@@ -31,12 +32,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import new_path, stored
 
 CENTRES = 16
 SAMPLE = 20_000
-QUERY_CHUNK = 4096
+QUERY_BYTES = 4 << 20  # of a chunk of queries, in double precision
 ROWS_AT_ONCE = 4096
+TABLES_AT_ONCE = 64  # queries whose tables of sums a task holds
+FOUND = "query long, query_id long, vec_id long, score double"
 
 
 def parallel_weight(dimension: int, threshold: float) -> float:
@@ -142,7 +145,8 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     v = F.col(vector_col)
     whole = v.isNotNull() & (F.size(v) > 0)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.where(whole & finite & F.exists(v, lambda x: x != 0)).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("vector"))
+    known = F.col(id_col).isNotNull() & whole & finite & F.exists(v, lambda x: x != 0)
+    return vectors.where(known).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("vector"))
 
 
 def build_index(vectors: DataFrame) -> tuple[DataFrame, Quantiser | None]:
@@ -160,7 +164,8 @@ def build_index(vectors: DataFrame) -> tuple[DataFrame, Quantiser | None]:
             own = b.take(pa.array(rows))
             yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(packed, pa.binary())], names=["vec_id", "vector", "code"])
 
-    return stored(vectors.mapInArrow(run, "vec_id long, vector array<float>, code binary"), "vector-index"), q
+    kind = vectors.schema["vector"].dataType.simpleString()
+    return stored(vectors.mapInArrow(run, f"vec_id long, vector {kind}, code binary"), "vector-index"), q
 
 
 def _search_blocks(q: Quantiser, first: int, ids: np.ndarray, queries: np.ndarray, k: int, rerank: int):
@@ -168,7 +173,6 @@ def _search_blocks(q: Quantiser, first: int, ids: np.ndarray, queries: np.ndarra
     as several may have one id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = q.tables(queries)
         best_ids = np.full((len(ids), k), -1, np.int64)
         best = np.full((len(ids), k), -np.inf)
         held: list[pa.RecordBatch] = []
@@ -179,9 +183,12 @@ def _search_blocks(q: Quantiser, first: int, ids: np.ndarray, queries: np.ndarra
             codes, kind = np.unique(np.frombuffer(b"".join(block.column("code").to_pylist()), np.uint8).reshape(len(vec), -1), axis=0, return_inverse=True)
             codes, kind = np.ascontiguousarray(codes.T), kind.ravel()
             for i in range(len(ids)):
-                rough = tables[i, 0][codes[0]]
+                if i % TABLES_AT_ONCE == 0:
+                    tables = q.tables(queries[i : i + TABLES_AT_ONCE])
+                table = tables[i % TABLES_AT_ONCE]
+                rough = table[0][codes[0]]
                 for m in range(1, len(codes)):
-                    rough = rough + tables[i, m][codes[m]]
+                    rough = rough + table[m][codes[m]]
                 # The cut is between codes: all vectors of a code, and all codes that tie at the cut, stay together.
                 cut = -np.partition(-rough, rerank - 1)[rerank - 1] if rerank < len(rough) else -np.inf
                 near = np.flatnonzero((rough >= cut)[kind])
@@ -217,30 +224,31 @@ def _search_blocks(q: Quantiser, first: int, ids: np.ndarray, queries: np.ndarra
 def search(index: DataFrame, q: Quantiser, queries: DataFrame, k: int = 20, rerank: int = 200) -> DataFrame:
     """The k nearest found of each query (vec_id, vector) but itself: query_id, rank, vec_id, score.
     rerank: distinct codes whose vectors are scored exactly for each query in each block of ROWS_AT_ONCE vectors."""
-    found = None
-    columns = "query long, query_id long, vec_id long, score double"
-    chunks = queries.select("vec_id", "vector").toLocalIterator(prefetchPartitions=True)
+    spark = index.sparkSession
+    size = max(TABLES_AT_ONCE, QUERY_BYTES // (8 * q.dimension))
+    folder = new_path(spark, "near")
     chunk: list = []
-
-    def of(rows: list) -> DataFrame:
-        own = np.array([r.vec_id for r in rows], np.int64)
-        x = np.array([r.vector for r in rows], np.float64)
-        return index.select("vec_id", "vector", "code").mapInArrow(_search_blocks(q, QUERY_CHUNK * len(parts), own, x, k, rerank), columns)
-
-    parts: list[DataFrame] = []
-    for row in chunks:
+    done = 0
+
+    def search_chunk() -> None:
+        nonlocal done
+        own = np.array([r.vec_id for r in chunk], np.int64)
+        x = np.array([r.vector for r in chunk], np.float64)
+        found = index.select("vec_id", "vector", "code").mapInArrow(_search_blocks(q, done, own, x, k, rerank), FOUND)
+        found.write.mode("append").parquet(folder)
+        done += len(chunk)
+        chunk.clear()
+
+    for row in queries.select("vec_id", "vector").toLocalIterator(prefetchPartitions=True):
         if len(row.vector) == q.dimension:
             chunk.append(row)
-        if len(chunk) == QUERY_CHUNK:
-            parts.append(stored(of(chunk), "near"))
-            chunk = []
+        if len(chunk) == size:
+            search_chunk()
     if chunk:
-        parts.append(stored(of(chunk), "near"))
-    if not parts:
-        return index.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+        search_chunk()
+    if not done:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = spark.read.schema(FOUND).parquet(folder)
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
