@@ -39,7 +39,7 @@ BASE = {
 WEAK = {
     "key": (r"(?<![A-Za-z0-9+/=])(?=[A-Za-z+/]*[0-9])(?=[A-Z0-9+/]*[a-z])(?=[a-z0-9+/]*[A-Z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])", 0, 40),
     "login": (r"(?i)\b(?:user|username|login|account)[\"']?\x20*[:=]\x20*[\"']?[a-z0-9._@-]{3,}", 0, 3),
-    "endpoint": (r"\b(?:https?|jdbc:[a-z0-9]+|s3|ftp|ssh)://[A-Za-z0-9.-]+(?::[0-9]+)?|\b[a-z0-9.-]+\.amazonaws\.com\b", 0, 3),
+    "endpoint": (r"\b(?:https?|jdbc:[a-z0-9]+|s3|ftp|ssh)://[A-Za-z0-9.-]+(?::[0-9]+)?|(?<![A-Za-z0-9.-])[a-z0-9.-]+\.amazonaws\.com\b", 0, 3),
 }
 COMPLEMENTS = {"key": ["access"], "login": ["assign"], "endpoint": ["access", "assign"]}
 KINDS = [*BASE, *WEAK]
