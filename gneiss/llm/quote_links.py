@@ -7,7 +7,7 @@ conversation, to the first message that holds the same line unquoted. A message'
 message to which most of its passages of the lowest linked level lead (the later message on a tie). Messages
 that hang together by parents form a thread; a conversation is its threads in order of their first turn, and
 in a thread a parent always precedes its replies. The text that is returned has no quoted lines and no
-attribution line ("On ... wrote:").
+attribution line ("On ... wrote:") before them.
 
 The link table has one row for each (conversation, passage) that is both quoted and original: originals are
 reduced to their first turn by partial aggregation before the shuffle. Quoted passages join it with a salt,
@@ -44,18 +44,23 @@ def _normal(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(bare), r"[^\p{L}\p{N}]+", " "))
 
 
+def _marked(text: Column) -> Column:
+    """The lines of a text, each with whether it is an attribution: it says who wrote what, and a quote follows."""
+    lines = _lines(text)
+    follows = lambda i: F.coalesce(F.get(lines, i + 1).rlike(MARKERS), F.lit(False))
+    return F.transform(lines, lambda x, i: F.struct(x.alias("line"), (x.rlike(ATTRIBUTION) & follows(i)).alias("attribution")))
+
+
 def own_text(text: Column) -> Column:
     """The text without quoted and attribution lines, and without blank lines at either end."""
-    kept = F.filter(_lines(text), lambda x: ~(x.rlike(MARKERS) | x.rlike(ATTRIBUTION)))
-    return F.regexp_replace(F.array_join(kept, "\n"), r"^\n+|\n+$", "")
+    kept = F.filter(_marked(text), lambda x: ~(x["line"].rlike(MARKERS) | x["attribution"]))
+    return F.regexp_replace(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"), r"^\n+|\n+$", "")
 
 
 def passages(messages: DataFrame) -> DataFrame:
     """conv_id, turn, level, passage: a row for each line that is not blank; level 0 is a message's own."""
-    line = messages.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).select(
-        "conv_id", "turn", F.explode(_lines(F.col("text"))).alias("line")
-    )
-    split = line.where(~F.col("line").rlike(ATTRIBUTION)).select("conv_id", "turn", _level(F.col("line")).alias("level"), _normal(F.col("line")).alias("words"))
+    line = messages.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).select("conv_id", "turn", F.explode(_marked(F.col("text"))).alias("l"))
+    split = line.where(~F.col("l.attribution")).select("conv_id", "turn", _level(F.col("l.line")).alias("level"), _normal(F.col("l.line")).alias("words"))
     return split.where(F.col("words") != "").select("conv_id", "turn", "level", F.md5("words").alias("passage"))
 
 
@@ -125,7 +130,7 @@ ORACLE = r"""
 WITH RECURSIVE m AS (SELECT row_number() OVER () AS id, conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
 l0 AS (SELECT id, conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM m),
 l AS (SELECT *, length(regexp_replace(regexp_extract(line, '^(?:[ \t]*>)+'), '[^>]', '', 'g')) AS lev,
-  regexp_matches(line, '^[ \t]*(?:On|Am|Le|El)\b.*(?:wrote|schrieb|écrit|escribió)[^:]*:[ \t]*$') AS attr,
+  regexp_matches(line, '^[ \t]*(?:On|Am|Le|El)\b.*(?:wrote|schrieb|écrit|escribió)[^:]*:[ \t]*$') AND coalesce(regexp_matches(lead(line) OVER (PARTITION BY id ORDER BY i), '^(?:[ \t]*>)+'), false) AS attr,
   trim(regexp_replace(lower(regexp_replace(line, '^(?:[ \t]*>)+', '')), '[^\p{L}\p{N}]+', ' ', 'g')) AS words FROM l0),
 p AS (SELECT conv_id, turn, lev, words FROM l WHERE NOT attr AND words <> ''),
 o AS (SELECT conv_id, words, min(turn) AS first FROM p WHERE lev = 0 GROUP BY ALL),
