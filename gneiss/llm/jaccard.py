@@ -527,3 +527,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     repeated = broadcast_if_small(twice).alias("l")
     once = kept.alias("d").join(repeated, same, "left_anti")
     return once.unionByName(kept.alias("d").join(repeated, same, "left_semi").dropDuplicates([id_col, text_col]))
+
+
+#: similarity_components over the table documents.
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM w),
+x AS (SELECT r, unnest(g) AS k FROM s), p AS (SELECT a.r AS a, b.r AS b, count(*) AS n FROM x a JOIN x b ON a.k = b.k AND a.r < b.r GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN s sa ON sa.r = a JOIN s sb ON sb.r = b WHERE 100 * n >= 80 * (len(sa.g) + len(sb.g) - n)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), reach AS (SELECT r, r AS t FROM s UNION SELECT reach.r, e.b FROM reach JOIN e ON reach.t = e.a)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id FROM s JOIN reach ON reach.r = s.r JOIN s o ON o.r = reach.t GROUP BY s.r, s.doc_id, len(s.g)
+"""

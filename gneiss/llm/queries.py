@@ -75,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quote_links": quote_links.ORACLE}
+    return {"op1_quote_links": quote_links.ORACLE, "op5_jaccard_components": jaccard.ORACLE, "op9_quality_rules": rules.ORACLE}

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gneiss.llm.queries import oracle_sql, queries, vocabulary
@@ -49,6 +50,27 @@ def test_pipeline(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "secret_scan", "best_fit_packing"]
 
 
+def test_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows, ties, other columns with clashing names, no rows."""
+    clean = " ".join(f"word{i} and" for i in range(40))
+    rows = [
+        (1, clean, "en", "s", 5, "x"), (1, clean, "en", "s", 5, "x"), (None, clean, None, None, None, None), (2, clean + " tail", "en", None, 7, "y"), (3, None, "en", "s", 0, "z"), (4, "", "en", "s", 0, "z"),
+        (5, " ".join(f"long{i}" for i in range(60_000)), "en", "s", 9, "w"), (None, None, None, None, None, None), (6, " ".join(f"other{i} is" for i in range(30)) + " password: hunter22", "en", "s", 1, "v"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string").withColumn("row", F.lit(1)).withColumn("uid", F.lit(2)).withColumn("failed", F.lit(None).cast("string"))
+    df.write.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path / "odd"))
+        assert docs.columns == df.columns, name
+    got = {r.doc_id: r.text for r in docs.collect()}
+    assert docs.count() == 3 and set(got) == {1, 5, 6} and got[6].endswith("[SECRET]")
+    packed = corpus_pipeline.run(spark, str(tmp_path / "odd"))
+    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {1, 5, 6}
+    df.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_registered():
     assert {n.split("_")[0] for n in queries()} == {f"op{i}" for i in range(1, 11)}
     assert set(oracle_sql()) <= set(queries())
