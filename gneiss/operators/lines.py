@@ -72,11 +72,11 @@ def _letters(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, upper + "\u212a", upper.lower() + "k"), "[^a-z]", "")
 
 
-def phrase_hits(docs: DataFrame, phrase: str, doc: str = "doc", text: str = "text") -> DataFrame:
+def phrase_hits(docs: DataFrame, phrase: str, doc: str = "doc", text: str = "text", most: int | None = None) -> DataFrame:
     """Every occurrence of the normalised phrase in the normalised document, over punctuation, white space,
     hyphenation and line ends, overlapping ones too: (doc, line, column, context, start, end), the last two in the
     normalised text. Normalisation leaves the order of letters as it is, so only documents that hold the letters of the
-    phrase are looked at."""
+    phrase are looked at. With `most`, the first so many by document, line and column."""
     wanted = normalized_with_places(phrase)[0]
     rows = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).where(F.col("text").isNotNull() & F.lit(wanted != ""))
     rows = rows.where(F.contains(_letters(F.col("text")), _letters(F.lit(wanted))))
@@ -97,7 +97,8 @@ def phrase_hits(docs: DataFrame, phrase: str, doc: str = "doc", text: str = "tex
             yield pd.DataFrame(out, columns=["doc", "line", "column", "context", "start", "end"])
 
     kind = rows.schema["doc"].dataType.simpleString()
-    return rows.mapInPandas(run, f"doc {kind}, line long, column int, context string, start long, end long")
+    found = rows.mapInPandas(run, f"doc {kind}, line long, column int, context string, start long, end long")
+    return found if most is None else found.orderBy("doc", "line", "column").limit(most)
 
 
 def by_line(hits: DataFrame) -> DataFrame:

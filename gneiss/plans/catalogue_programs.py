@@ -248,6 +248,20 @@ def program_roots(spark, sf_dir):
     return _rows(spark, [(n,) for n in _system(spark).roots()], "name string")
 
 
+@query(values("kind, n", "'fact', 5", "'axiom', 3", "'term-comp', 2", "'term-fwd', 2", "'theorem', 1", "'calc', 2", "'synthetic', 1"))
+def probed_program(spark, sf_dir):
+    """The graph of a whole program, by kind."""
+    return G.kinds(_system(spark).probe_all()[0]).select("kind", F.col("n").cast("int").alias("n"))
+
+
+@query(values("diffs, n", "'same-seats', 0", "'rent-free', 1"))
+def incremental_consistency(spark, sf_dir):
+    """The items of some diffs only."""
+    s = _system(spark)
+    of = lambda d: s.consistency(d).agg(F.count_if(F.col("item").endswith("divergent")).cast("int").alias("n")).select(F.lit(d).alias("diffs"), "n")
+    return of("same-seats").unionByName(of("rent-free"))
+
+
 @query(values("asked, found", "'net', '__output__,costs,net,profit,rent,sales'", "'OFI', 'profit'", "'nothing', ''"))
 def inspected_names(spark, sf_dir):
     """A known name gets its graph, an unknown one the names that hold it."""
@@ -380,6 +394,13 @@ def loaded_in_spite(spark, sf_dir):
     return _rows(spark, [(n,) for n in s.entries], "name string")
 
 
+@query(values("name, line, status", "'parse', 3, 'error'"))
+def parse_errors(spark, sf_dir):
+    """Reading stops at an error, which is recorded, and what stands before it is loaded."""
+    s = System(spark).load("(fact a 1)\n(fact b 2)\n(fact c (+ 1", lenient=True)
+    return s.error_report().select("name", "line", "status").where(F.lit(sorted(s.entries) == ["a", "b"]))
+
+
 @query(values("root, skipped", "'b', 't,u'"))
 def load_error_tree(spark, sf_dir):
     """P17."""

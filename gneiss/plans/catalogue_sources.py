@@ -105,6 +105,22 @@ def cursor_page(spark, sf_dir):
     return c.next().next().next().prev().rows().select("doc", "line")
 
 
+@query(f"WITH {THE} SELECT doc, line, CAST(line % 9 + 1 AS INTEGER) AS total_callers, CAST(least(line % 9 + 1, 3) AS INTEGER) AS shown FROM b ORDER BY line % 9 DESC, CAST(doc AS VARCHAR), line LIMIT 30")
+def callers_page(spark, sf_dir):
+    """A page that shows three callers of each line and counts all."""
+    hits = _phrase(spark, sf_dir, "tion")
+    callers = hits.select("doc", "line", F.explode(F.sequence(F.lit(0), F.col("line") % 9)).alias("k")).select("doc", "line", F.concat(F.lit("f"), "k").alias("name"), F.lit(0.5).alias("overlap"))
+    page = Search(_docs(spark, sf_dir), callers=callers, literal=True).query("tion", 30, max_callers=3)
+    return page.select("doc", "line", "total_callers", F.size("callers").alias("shown"))
+
+
+@query(f"""WITH {CLEAN} SELECT h.doc, s.line, CAST(h.start - s.start + 1 AS INTEGER) AS "column", CAST(h.start AS BIGINT) AS start FROM hits h JOIN starts s ON h.doc = s.doc AND h.start >= s.start AND h.start < s.start + length(s.context) + 1
+ ORDER BY h.doc, s.line, h.start LIMIT 25""")
+def first_hits(spark, sf_dir):
+    """S2 with a limit: the first places of a phrase."""
+    return L.phrase_hits(_clean(spark, sf_dir), "ing and", most=25).select("doc", "line", "column", "start")
+
+
 @query(f"WITH {THE} SELECT doc, line, context FROM a WHERE doc % 2 = 0")
 def forms_and_lines(spark, sf_dir):
     """Lines found and forms of another system met by key, and turned into a posting."""
@@ -401,7 +417,7 @@ def ingested_files(spark, sf_dir):
     return got.select("doc", "text", F.regexp_replace("error", ":.*", "").alias("error"))
 
 
-@query("SELECT count(*) AS n, sum(length(text)) AS chars, true AS damaged FROM documents")
+@query("SELECT count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, true AS damaged FROM documents")
 def checked_package(spark, sf_dir):
     """IO6, IO7: a package read back whole, and one that lost a row found out."""
     docs, folder = _docs(spark, sf_dir), new_path(spark, "package")
@@ -499,6 +515,13 @@ def exported_project(spark, sf_dir):
     return spark.createDataFrame(files, "path string, text string").unionByName(back)
 
 
+@query(f"WITH {ITEMS} SELECT name, category, detail FROM items WHERE category = 'issue'")
+def report_json(spark, sf_dir):
+    """IO11: a report as JSON and back."""
+    rows = _items(spark, sf_dir).where("category = 'issue'").select("name", "category", "detail")
+    return codec.rows_of(codec.rows_json(rows), "name string, category string, detail string")
+
+
 @query("SELECT doc_id AS name, '{\"__symbol__\": \"' || lang || '\"}' AS json, lang AS back FROM documents")
 def json_codec(spark, sf_dir):
     """IO11: symbols as JSON and back, on rows."""

@@ -110,15 +110,17 @@ class Search:
         text = text.strip()
         return parse(repaired(text)) if text.startswith("(") else text
 
-    def query(self, text: str, max_lines: int = 20, offset: int = 0, rank: str = "callers") -> DataFrame:
-        """A page of the result, ranked; neighbourhoods stay in line order."""
+    def query(self, text: str, max_lines: int = 20, offset: int = 0, rank: str = "callers", max_callers: int | None = 5) -> DataFrame:
+        """A page of the result, ranked; neighbourhoods stay in line order. A row shows max_callers of its callers,
+        and counts all."""
         expr = self.parsed(text)
         head = str(expr[0]) if isinstance(expr, tuple) else ""
         found = self.posting(expr)
         if "ord" not in found.columns or "doc" not in found.columns:
             return found
         ranked = S.rank("line" if head in ("context", "before", "after") else rank, found)
-        return S.limit(max_lines, ranked, offset)
+        page = S.limit(max_lines, ranked, offset)
+        return page if max_callers is None else page.withColumn("callers", F.slice("callers", 1, max_callers))
 
     def display(self, text: str) -> DataFrame:
         """Whatever the query gives as a posting; a scalar is one line of the document __result__."""

@@ -19,7 +19,7 @@ from gneiss.operators import logic, quotes
 from gneiss.operators.graph import fuzzy
 
 from .compiler import FORMS, OPERATORS, Compiler, Typed
-from .sexpr import Rules, Symbol, free_vars, keyword, parse, parse_all, substitute, symbols, to_sexp
+from .sexpr import ParseError, Rules, Symbol, free_vars, keyword, parse, parse_all, substitute, symbols, to_sexp
 
 HEADS = ("fact", "axiom", "defterm", "derive", "diff")
 #: Effects that must run before a module's definitions.
@@ -92,7 +92,13 @@ class System:
         of them. As written, one after the other, and the first that fails ends the load; or, with lenient, imports
         first, then definitions in the order of their dependencies, then other effects: one that fails is recorded,
         and what needs it is skipped, with its root cause."""
-        nodes = parse_all(source)
+        try:
+            nodes = parse_all(source)
+        except ParseError as e:
+            if not lenient:
+                raise
+            nodes = e.nodes  # P3: reading stops at the error
+            self.errors.append(("parse", int("".join(filter(str.isdigit, str(e).split(":")[0])) or 0), "error", str(e)))
         own = {str(e[1]) for e, _ in nodes if isinstance(e, tuple) and len(e) > 1 and e[0] in HEADS}
         prefixed = {n: Symbol(f"{module}.{n}") for n in own} if module else {}
 
@@ -291,6 +297,10 @@ class System:
         used = {u for e in self.entries.values() if e.kind == "theorem" for u in e.using} | {s for e in self.entries.values() if e.kind == "term-comp" for s in self._names(e.wff)}
         return [n for n in self.entries if n not in used]
 
+    def probe_all(self) -> tuple[DataFrame, DataFrame]:
+        """The graph of the whole program, from its roots."""
+        return self.probe(*self.roots())
+
     def dissect(self, diff: str) -> list[tuple[DataFrame, DataFrame]]:
         """The two graphs of a diff, of what is replaced and of what stands for it."""
         return self.compose(*self.diffs[diff])
@@ -484,14 +494,16 @@ class System:
         item = F.when(F.col("real") > 0, "downstream_divergent").when(F.col("tainted") > 0, "contamination_only").when(F.col("own") > 0, "value_divergent")
         return counts.select(F.col("diff").alias("name"), item.alias("item"))
 
-    def consistency(self) -> DataFrame:
-        """(name, item) of all issues and warnings."""
+    def consistency(self, *diffs: str) -> DataFrame:
+        """(name, item) of all issues and warnings; of some diffs only, if any are named."""
         state = self.sources().unionByName(
             self.theorems().select("name", F.lit(None).cast("boolean").alias("verified"), F.lit(False).alias("manual"), "origin")
         )
         listed = state.groupBy("name").agg(F.max("verified").alias("verified"), F.bool_or("manual").alias("manual"), F.max("origin").alias("origin"))
         items = logic.evidence_items(listed.withColumn("origin", F.when(F.col("origin") == "does not hold", logic.FABRICATION).otherwise(F.col("origin"))))
-        return items.unionByName(self.diff_report()) if self.diffs else items
+        if not self.diffs:
+            return items
+        return items.unionByName(self.diff_report().where(F.col("name").isin(*diffs)) if diffs else self.diff_report())
 
     def consistent(self) -> bool:
         return bool(logic.consistent(self.consistency()).first().consistent)
