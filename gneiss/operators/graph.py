@@ -14,17 +14,20 @@ from gneiss.sources.shared import new_path, stored, written
 KINDS = ("fact", "axiom", "theorem", "calc", "term-fwd", "term-comp", "synthetic")
 
 
-def _rounds(edges: DataFrame, seeds: DataFrame, once: bool, most: int | None = None) -> DataFrame:
-    """(name, depth) by rounds from the seeds: with `once` a name only at the first depth that it is found at."""
+def _rounds(edges: DataFrame, seeds: DataFrame, once: bool, nodes: DataFrame | None = None) -> DataFrame:
+    """(name, depth) by rounds from the seeds: with `once` a name only at the first depth that it is found at. With
+    nodes, more rounds than there are nodes are an error."""
     spark = edges.sparkSession
-    edges = stored(edges.select("src", "dst").distinct())
+    edges, most = stored(edges.select("src", "dst")), None
     folder = new_path(spark, "closure")
     schema = T.StructType([T.StructField("name", seeds.schema["name"].dataType), T.StructField("depth", T.IntegerType())])
     found, n = written(seeds.select("name").distinct(), f"{folder}/depth=0"), 0
     while found:
         n += 1
-        if most is not None and n > most:
-            raise ValueError("the graph has a cycle")
+        if nodes is not None and n > 16:  # few graphs are so deep that their nodes must be counted
+            most = most or nodes.count()
+            if n > most:
+                raise ValueError("the graph has a cycle")
         seen = spark.read.schema(schema).parquet(folder)
         step = seen.where(F.col("depth") == n - 1).join(edges, F.col("name") == F.col("src")).select(F.col("dst").alias("name")).distinct()
         if once:
@@ -102,7 +105,7 @@ def reprobe(old_nodes: DataFrame, edges: DataFrame, fresh: DataFrame, changed: D
 def depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(name, depth), the longest path from a node without inputs."""
     leaves = nodes.select("name").join(edges.select(F.col("dst").alias("name")).distinct(), "name", "left_anti")
-    return _rounds(edges, leaves, once=False, most=nodes.count()).groupBy("name").agg(F.max("depth").alias("depth"))
+    return _rounds(edges, leaves, once=False, nodes=nodes).groupBy("name").agg(F.max("depth").alias("depth"))
 
 
 def input_classes(nodes: DataFrame, edges: DataFrame, depth: DataFrame) -> DataFrame:
