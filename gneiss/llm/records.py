@@ -97,7 +97,8 @@ def write_token_records(docs: DataFrame, vocabulary: str, out: str, end_id: int,
         .repartitionByRange(input_partitions(docs, FILE_TEXT_BYTES), "doc_id")
         .sortWithinPartitions("doc_id")
     )
-    ordered.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value")).write.text(f"{out}/records")
+    framed = ordered.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value"))
+    framed.write.option("compression", "none").option("maxRecordsPerFile", 0).text(f"{out}/records")  # one plain file a task
     build_index(spark, out)
 
 
