@@ -14,6 +14,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from gneiss.operators import logic
 from gneiss.sources.shared import write_text
 
 from .sexpr import TOKEN, Symbol, atom, to_sexp
@@ -171,11 +172,11 @@ def sinks(out: Callable[[str], None] = print) -> dict[str, Callable[..., Any]]:
     def consistency(system: System, mode: str = "") -> Any:
         if mode == ":report":
             return system.consistency()
-        items = system.consistency()
-        good = system.consistent()
+        items = sorted((r["item"], r["name"]) for r in system.consistency().collect())  # of one program
+        good = not any(item in logic.ISSUES for item, _ in items)
         if mode == ":bool":
             return good
-        out("\n".join(f"{r['item']}: {r['name']}" for r in items.orderBy("item", "name").collect()) or "consistent")  # of one program
+        out("\n".join(f"{item}: {name}" for item, name in items) or "consistent")
         if mode == ":raise" and not good:
             raise ProgramError("the program isn't consistent")
         return True
