@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a DataFrame; all
 but the last return the columns of documents. run() writes what a stage returns as Parquet and reads it again
 for the next. Part of the training-data operators: it goes where gneiss.llm goes.
+
+Results for odd input: null and empty texts have too few words and go in the first stage, as do no others for being long;
+of rows that repeat doc_id and text, and of copies, one stays, the one with the smallest doc_id (a null one is no
+id, and comes last); nulls in other columns, and columns of any other name, pass through; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
