@@ -154,11 +154,11 @@ def has_form_key(spark, sf_dir):
 # --- normalisation and verification ---
 
 
-@query(r"""SELECT doc_id AS doc, regexp_replace(regexp_replace('  7. ' || text, '\n', ' ', 'g'), '^(  |)7\. ', '   ') AS norm FROM documents WHERE NOT regexp_matches(text, '[0-9]\.\s|-\n')""")
+@query(r"""WITH l AS (SELECT doc_id AS doc, regexp_replace('  7. ' || text, '(?m)^([^\S\n]{2,}|)[12]?[0-9]\.\s+', '\1 ', 'g') AS t FROM documents),
+j AS (SELECT doc, regexp_replace(t, '([\p{L}\p{N}])-\n\s*([\p{L}\p{N}])', '\1\2', 'g') AS t FROM l) SELECT doc, regexp_replace(regexp_replace(t, '-\n([\s\S])', ' \1', 'g'), '\n', ' ', 'g') AS norm FROM j""")
 def normalised_lists(spark, sf_dir):
-    """V3, V4: list markers at the beginning and line ends, in texts that hold no others."""
-    docs = _docs(spark, sf_dir).where(~F.col("text").rlike(r"[0-9]\.\s|-\n"))
-    return docs.select("doc", N.hyphenation(N.lists(F.concat(F.lit("  7. "), "text"))).alias("norm"))
+    """V3, V4: list markers and line ends."""
+    return _docs(spark, sf_dir).select("doc", N.hyphenation(N.lists(F.concat(F.lit("  7. "), "text"))).alias("norm"))
 
 
 @query(r"""WITH w AS (SELECT doc_id AS doc, list_filter(string_split(regexp_replace(text, '\s+', ' ', 'g'), ' '), lambda x: x <> '') AS p FROM documents)
@@ -396,25 +396,26 @@ def companion_corruption(spark, sf_dir):
 # --- sources, packages and stores ---
 
 
-@query("SELECT 'd' || doc_id || '.txt' AS doc, sha256(text) AS sha256 FROM documents WHERE doc_id % 20 = 0")
+@query("SELECT doc_id AS doc, sha256(text || chr(10)) AS sha256 FROM documents")
 def indexed_files(spark, sf_dir):
-    """IO1-IO3, H8: documents written as files of two kinds into folders, and indexed without those that are ignored."""
+    """IO3, H8: documents written as files in folders, and indexed without those that are ignored or no text."""
     folder = new_path(spark, "files")
-    for r in _table(spark, sf_dir, "documents").where("doc_id % 20 = 0").select("doc_id", "text").collect():  # a few files
-        write_text(spark, f"{folder}/d{r.doc_id}.txt", r.text)
+    _docs(spark, sf_dir).write.partitionBy("doc").text(folder)
     write_text(spark, f"{folder}/skip/a.txt", "ignored")
     write_text(spark, f"{folder}/b.bin", "no text")
-    return D.index_dir(spark, folder, exclude=["skip/"]).select("doc", "sha256")
+    found = D.index_dir(spark, folder, exclude=["skip/"])
+    return found.select(F.regexp_extract("doc", "doc=([0-9]+)/", 1).cast("long").alias("doc"), "sha256")
 
 
-@query(values("doc, text, error", "'notes', 'one', NULL", "'LICENSE', 'two', NULL", "'scan', NULL, 'unsupported document format'"))
+@query(values("doc, text, error", "'notes', 'one', NULL", "'LICENSE', 'two', NULL", "'scan', NULL, 'unsupported document format'", "'memo', 'three', NULL"))
 def ingested_files(spark, sf_dir):
     """IO13, IO1, IO2."""
     folder = new_path(spark, "files")
     for name, text in (("a.md", "one"), ("LICENSE", "two"), ("scan.pdf", "%PDF")):
         write_text(spark, f"{folder}/{name}", text)
     got = D.ingest(spark, f"{folder}/LICENSE", f"{folder}/scan.pdf").unionByName(D.load_document(spark, "notes", f"{folder}/a.md").select("doc", F.lit("").alias("path"), "text", F.lit(None).cast("string").alias("error")))
-    return got.select("doc", "text", F.regexp_replace("error", ":.*", "").alias("error"))
+    held = D.register_documents(spark, {"memo": "three"}).select("doc", "text", F.lit(None).cast("string").alias("error"))
+    return got.select("doc", "text", F.regexp_replace("error", ":.*", "").alias("error")).unionByName(held)
 
 
 @query("SELECT count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, true AS damaged FROM documents")
