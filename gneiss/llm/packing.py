@@ -147,7 +147,8 @@ def plan(counts: DataFrame, capacity: int) -> DataFrame:
 
     state, number = start, 0
     while True:
-        ranges = state.groupBy(F.expr(f"size div {-(-capacity // RANGES)}")).applyInArrow(in_range, ROUND)
+        dealt = state.withColumn("range", F.expr(f"size div {-(-capacity // RANGES)}")).repartition(RANGES, "range")
+        ranges = dealt.groupBy("range").applyInArrow(in_range, ROUND)  # few tasks, whatever the session's number is
         made = ranges.repartition(1).mapInArrow(last, ROUND)
         seen = Observation()
         left = F.count_if(F.col("kind") == PIECE).alias("pieces")
