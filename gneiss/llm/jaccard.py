@@ -55,7 +55,7 @@ PERCENT = 80
 NO_ID = -(1 << 63)
 LAST_ID = (1 << 63) - 1
 SEEN = 1 << 20
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Shingles of a block's classes, where each class counts CLASS_WEIGHT more: a block has 4096 classes at most.
 BLOCK_SHINGLES, CLASS_WEIGHT = 1 << 19, 128
 AT_ONCE = 1 << 19  # sketch words that a cell compares at once
