@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from gneiss.sources.shared import shared_folder
+from gneiss.sources.shared import shared_folder, small_batches  # noqa: F401
 
 ROW_BITS = 33  # monotonically_increasing_id() holds the partition above these bits
 
@@ -53,13 +53,6 @@ def input_partitions(df: DataFrame, target_bytes: int) -> int:
     return max(floor, min(size // target_bytes + 1, 200_000))
 
 
-def small_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
-    """Keep Arrow batches of whole texts small, so that a Python worker's memory is bounded. It holds for the
-    session: plans that an operator returns run only later."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
-
-
 def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """df (stored, of a few longs a row), marked for a broadcast join if it is counted to have so few rows; else Spark
     joins by shuffle."""

@@ -169,6 +169,20 @@ def test_the_index_finds_what_the_texts_hold(spark):
         assert keys(indexed.indexed_phrase(index, phrase)) == keys(L.normal_phrase_lines(docs, phrase)), phrase
 
 
+def test_an_index_holds_a_context_once(spark):
+    texts = ["the " * 4000, "A-\nb the\n\n the b", "The the\nx\n the", "\n", "", None, "ÀÉ the\n", "d 2. the-\n the. c"]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "the\nthe")], "doc int, text string")
+    index = indexed.build_index(docs).cache()
+    assert sum(len(r.context or "") + sum(len(p.asDict().get("context", "")) for p in r.parts or []) for r in index.collect()) <= sum(len(t or "") for t in texts) + 6
+    plain = indexed.build_index(docs.select("doc", F.concat("text", F.lit(" .")).alias("text"))).where("word IS NOT NULL")
+    row = lambda r: (r.doc, r.pos, r.word, r.line, r.column)
+    assert sorted(map(row, index.where("word IS NOT NULL").collect()), key=str) == sorted(map(row, plain.collect()), key=str)  # with and without marks
+    keys = lambda p: sorted(((r.doc, r.line, r.column, r.context) for r in p.collect()), key=str)
+    assert keys(indexed.indexed_phrase(index, "the")) == keys(L.normal_phrase_lines(docs, "the"))
+    words = keys(indexed.indexed_word(index, "the"))
+    assert (0, 1, 1, "the " * 4000) in words and (None, 2, 1, "the") in words and len(words) == 8, [w[:3] for w in words]
+
+
 def test_stopwords_in_places_and_columns_agree(spark):
     config = N.Config(remove_stopwords=True)
     random.seed(3)
