@@ -28,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .chunks import library_encoder, text_slices
-from .common import input_partitions, new_path, partition_bases, small_batches, stored
+from .common import input_partitions, new_path, partition_bases, release_memory, small_batches, stored
 
 HEAD, FOOT, END = 12, 4, b"\n"
-FILE_TEXT_BYTES = 24 << 20
+FILE_TEXT_BYTES, SLICE_BYTES = 24 << 20, 4 << 20
 _encoders: dict = {}
 
 
@@ -77,20 +77,29 @@ def encoder(path: str, words: bool):
     return _encoders[path, words]
 
 
+def framed_batches(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, words: bool) -> Iterator[pa.RecordBatch]:
+    """Records, without their last byte, of (doc_id, text). What a slice took is given back before the next one."""
+    enc, last = encoder(vocabulary, words), np.array([end_id], np.uint32)
+    for b in text_slices(batches, "text", SLICE_BYTES):
+        ids, ends = enc.encode(b.column(1))
+        out_rows, at = [], 0
+        for doc_id, to in zip(b.column(0).to_pylist(), ends.tolist(), strict=True):
+            out_rows.append(frame(payload_of(doc_id, np.concatenate([ids[at:to], last])))[:-1])
+            at = to
+        out = pa.RecordBatch.from_arrays([pa.array(out_rows, pa.binary())], names=["frame"])
+        del b, ids, ends, out_rows
+        yield out
+        del out
+        release_memory()
+
+
 def write_token_records(docs: DataFrame, vocabulary: str, out: str, end_id: int, words: bool = True, text_col: str = "text") -> None:
     """Write the records of docs under out/records and the index under out/index."""
     spark = docs.sparkSession
     small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, last = encoder(vocabulary, words), np.array([end_id], np.uint32)
-        for b in text_slices(batches, "text"):
-            ids, ends = enc.encode(b.column(1))
-            out_rows, at = [], 0
-            for doc_id, to in zip(b.column(0).to_pylist(), ends.tolist(), strict=True):
-                out_rows.append(frame(payload_of(doc_id, np.concatenate([ids[at:to], last])))[:-1])
-                at = to
-            yield pa.RecordBatch.from_arrays([pa.array(out_rows, pa.binary())], names=["frame"])
+        return framed_batches(batches, vocabulary, end_id, words)
 
     ordered = (
         docs.select("doc_id", F.col(text_col).alias("text"))
@@ -117,6 +126,7 @@ def build_index(spark: SparkSession, out: str) -> None:
                     [pa.array([part] * len(got), pa.int64()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.int64())],
                     names=["part", "offset", "length", "doc_id"],
                 )
+        release_memory()
 
     with one_file_a_batch(spark):
         _files(spark, out).mapInArrow(run, "part long, offset long, length long, doc_id long").write.parquet(f"{out}/index")
@@ -170,6 +180,7 @@ def read_all(spark: SparkSession, out: str) -> DataFrame:
                     before += len(ids)
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["part", "place", "doc_id", "upto", "n_tokens", "ids_crc32"])
+        release_memory()
 
     return _files(spark, out).mapInArrow(run, "part long, place long, doc_id long, upto long, n_tokens long, ids_crc32 long")
 

@@ -131,6 +131,18 @@ def test_records_are_checked_and_read_in_any_order(spark, docs, tmp_path):
     assert records.token_records(empty(spark), vocabulary("word_bpe_49k.json")).count() == 0
 
 
+def test_record_writing_gives_memory_back_after_each_slice(monkeypatch):
+    import pyarrow as pa
+
+    released = []
+    monkeypatch.setattr(records, "release_memory", lambda: released.append(1))
+    texts = ["some words of text " * 30_000] * 24 + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(25), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    out = [f for b in records.framed_batches(iter([batch]), vocabulary("word_bpe_49k.json"), 1, True) for f in b.column(0).to_pylist()]
+    assert len(out) == 25 and len(released) >= sum(len(t or "") for t in texts) // records.SLICE_BYTES
+    assert [records.parse(p)[0] for f in out for _, p in records.frames(f + records.END)] == list(range(25))
+
+
 # --- 3 ---
 
 
