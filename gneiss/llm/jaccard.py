@@ -357,14 +357,21 @@ def close_members(n: np.ndarray, sketches: list[bytes], component: np.ndarray, s
     return tuple(np.concatenate(parts) for parts in zip(*out, strict=True))
 
 
+def told_apart(members: DataFrame) -> DataFrame:
+    """The keys of units whose members (key, h, component, probes; each once) are in different components. Of units
+    with the same members, told by 128 bits and their number, one stands for all: they lead to the same cells."""
+    of = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "h")).alias(f"set_{seed}")
+    units = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("probes").alias("p"), of(1), of(2), F.count(F.lit(1)).alias("size"))
+    return units.where("p AND x < y").groupBy("set_1", "set_2", "size").agg(F.min("key").alias("key")).select("key")
+
+
 def cells(units: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame | None:
     """The members of all cells: first, second (blocks), block, h, component, n, sketch. None if no unit joins
     different components."""
-    many = units.where(F.col("n") > 2).select("key", "h1", "probes")
+    many = units.where(F.col("n") > 2).groupBy("key", "h1").agg(F.max("probes").alias("probes"))  # copies came from several tasks
     named = many.join(labels, F.col("h1") == F.col("node"), "left").select("key", F.col("h1").alias("h"), "probes", F.coalesce("component", "h1").alias("component"))
     members = stored(named, "jaccard-members")
-    mixed = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("probes").alias("p")).where("p AND x < y").select("key")
-    open_ = stored(members.join(mixed, "key", "left_semi").select("key", "h", "component").distinct(), "jaccard-open")
+    open_ = stored(members.join(told_apart(members), "key", "left_semi").select("key", "h", "component"), "jaccard-open")
     discard(members)
     if open_.isEmpty():
         discard(open_)

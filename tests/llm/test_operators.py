@@ -498,6 +498,21 @@ def test_bands_hold_partners():
                 assert b.of(size) - b.of(partner) in (0, 1)
 
 
+def test_units_of_the_same_classes_stand_for_one_another(spark):
+    units = {1: "abc", 2: "abc", 3: "ab", 4: "bcd", 5: "dd", 6: "abd", 7: "cba"}
+    component = {"a": 1, "b": 2, "c": 2, "d": 4}
+    rows = [(k, ord(h), component[h], k != 6) for k, hs in units.items() for h in set(hs)]
+    members = spark.createDataFrame(rows, "key long, h long, component long, probes boolean")
+    assert sorted(r.key for r in jaccard.told_apart(members).collect()) == [1, 3, 4]  # 5 has one component, 6 no probe
+
+
+def test_cells_hold_a_class_once_for_all_its_copies(spark):
+    units = spark.createDataFrame([(k, h, True, True, 1, 3, 9) for k in (1, 2) for h in (1, 2, 3) for _ in range(3)], "key long, h1 long, probes boolean, indexes boolean, low long, high long, n long")
+    labels = spark.createDataFrame([(1, 1), (2, 1)], "node long, component long")
+    classes = spark.createDataFrame([(h, h, h, h, 10, bytearray(8)) for h in (1, 2, 3)], "h long, id long, at long, least long, n long, sketch binary")
+    assert sorted((r.h, r.component) for r in jaccard.cells(units, labels, classes).collect()) == [(1, 1), (2, 1), (3, 3)]
+
+
 # --- 6 ---
 
 
