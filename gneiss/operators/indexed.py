@@ -9,6 +9,7 @@ the end of one token, goes through whole tokens, and ends at the beginning of an
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -30,6 +31,10 @@ FIELDS = [("pos", pa.int64()), ("word", pa.string()), ("line", pa.int64()), ("co
 SLICE_BYTES, SLICE_TOKENS = 1 << 20, 100_000
 #: Texts of other characters than these are normalised by more than lower case and white space.
 MARKED = r"[^A-Za-z0-9_\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff} \n]"
+#: Where a long text may be cut: its lines; its tokens, if it has no marks; and tokens with marks, where no rule of
+#: normalisation reaches from one side to the other. (A digit at the beginning of a line may number a list.)
+LINE_CUT, PLAIN_CUT = re.compile(rb"\n"), re.compile(rb"[ \n]")
+MARKED_CUT = re.compile(rb"(?<=[A-Za-z0-9])(?: (?=[A-Za-z])|\n(?=[A-Za-z0-9]))")
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,6 +47,16 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = end
 
 
+def _pieces(text: pa.StringScalar, cut: re.Pattern) -> Iterator[str]:
+    """A text in pieces of SLICE_BYTES, and on to the next place to cut."""
+    buffer, at = text.as_buffer(), 0
+    while at < buffer.size:
+        found = cut.search(buffer, at + SLICE_BYTES)
+        end = found.end() if found else buffer.size
+        yield buffer.slice(at, end - at).to_pybytes().decode()
+        at = end
+
+
 def _rows(doc: pa.Array, **columns: pa.Array) -> pa.RecordBatch:
     """Rows of the index; columns that aren't given are null."""
     own = [columns[name].cast(kind) if name in columns else pa.nulls(len(doc), kind) for name, kind in FIELDS]
@@ -59,7 +74,7 @@ def _line_rows(doc: pa.Array, text: pa.Array) -> pa.RecordBatch:
 
 def _plain_tokens(doc: pa.Array, text: pa.Array) -> pa.RecordBatch:
     """The tokens of texts without marks, of all together."""
-    lists = pc.utf8_split_whitespace(pc.utf8_lower(text))
+    lists = pc.ascii_split_whitespace(pc.utf8_lower(text))  # utf8_split_whitespace may keep a last white space
     full = pc.not_equal(lists.flatten(), "")
     owner = pc.list_parent_indices(lists).filter(full).to_numpy().astype(np.int64)
     letters = np.frombuffer("\n".join(text.to_pylist()).encode("utf-32-le"), np.uint32)
@@ -97,6 +112,55 @@ def _marked_tokens(text: str, config: Config) -> Iterator[list[tuple]]:
         yield out
 
 
+def _tokens(doc: pa.Array, text: pa.Array, config: Config, plain: bool) -> Iterator[pa.RecordBatch]:
+    """The tokens of texts; where plain, those without marks are taken together."""
+    marked = pc.match_substring_regex(text, MARKED) if plain else pa.array(np.ones(len(text), bool))
+    if not pc.all(marked).as_py():
+        yield _plain_tokens(doc.filter(pc.invert(marked)), text.filter(pc.invert(marked)))
+    for i in np.flatnonzero(marked.to_numpy(zero_copy_only=False)).tolist():
+        for rows in _marked_tokens(text[i].as_py(), config):
+            pos, word, line, column, parts = (list(x) for x in zip(*rows, strict=True))
+            yield _rows(
+                doc.take(pa.array([i] * len(rows))), pos=pa.array(pos), word=pa.array(word, pa.string()),
+                line=pa.array(line), column=pa.array(column), parts=pa.array(parts, PARTS),
+            )
+
+
+def _moved(rows: pa.RecordBatch, pos: int, lines: int, columns: int) -> pa.RecordBatch:
+    """Rows of a piece of a text as rows of the text: so many tokens, lines, and columns of its first line come before."""
+    if not (pos or lines or columns):
+        return rows
+
+    def place(line: pa.Array, column: pa.Array) -> tuple[pa.Array, pa.Array]:
+        return pc.add(line, lines), pc.add(column, pc.if_else(pc.equal(line, 1), pa.scalar(columns, pa.int32()), pa.scalar(0, pa.int32())))
+
+    line, column = place(rows["line"], rows["column"])
+    parts, own = rows["parts"], rows["parts"].flatten()
+    if len(own):
+        fields = [own.field("at"), *place(own.field("line"), own.field("column"))]
+        size = pc.fill_null(pc.list_value_length(parts), 0).to_numpy()
+        offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+        parts = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, names=["at", "line", "column"]), mask=parts.is_null())
+    return _rows(rows["doc"], pos=pc.add(rows["pos"], pos), word=rows["word"], line=line, column=column, context=rows["context"], parts=parts)
+
+
+def _long(doc: pa.Array, text: pa.Array, config: Config, plain: bool) -> Iterator[pa.RecordBatch]:
+    """The index of one long text, piece by piece: no batch grows with the text, but by a line or token that is long."""
+    lines = 0
+    for piece in _pieces(text[0], LINE_CUT):
+        yield _moved(_line_rows(doc, pa.array([piece])), 0, lines, 0)
+        lines += piece.count("\n")
+    cut = MARKED_CUT if not plain or pc.match_substring_regex(text, MARKED)[0].as_py() else PLAIN_CUT
+    pos = lines = columns = 0
+    for piece in [text[0].as_py()] if config.remove_stopwords else _pieces(text[0], cut):
+        n = 0
+        for rows in _tokens(doc, pa.array([piece]), config, plain):
+            yield _moved(rows, pos, lines, columns)
+            n += rows.num_rows
+        pos, columns = pos + n, len(piece) - piece.rfind("\n") - 1 + (0 if "\n" in piece else columns)
+        lines += piece.count("\n")
+
+
 def build_index(docs: DataFrame, config: Config = Config()) -> DataFrame:
     """IO9: the index of documents (doc, text)."""
     small_batches(docs.sparkSession)
@@ -105,17 +169,11 @@ def build_index(docs: DataFrame, config: Config = Config()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
             doc, text = b.column(0), b.column(1).cast(pa.string()).fill_null("")
-            yield _line_rows(doc, text)
-            marked = pc.match_substring_regex(text, MARKED) if plain else pa.array(np.ones(len(text), bool))
-            if not pc.all(marked).as_py():
-                yield _plain_tokens(doc.filter(pc.invert(marked)), text.filter(pc.invert(marked)))
-            for i in np.flatnonzero(marked.to_numpy(zero_copy_only=False)).tolist():
-                for rows in _marked_tokens(text[i].as_py(), config):
-                    pos, word, line, column, parts = (list(x) for x in zip(*rows, strict=True))
-                    yield _rows(
-                        doc.take(pa.array([i] * len(rows))), pos=pa.array(pos), word=pa.array(word, pa.string()),
-                        line=pa.array(line), column=pa.array(column), parts=pa.array(parts, PARTS),
-                    )
+            if len(text) == 1 and text[0].as_buffer().size > SLICE_BYTES:
+                yield from _long(doc, text, config, plain)
+            else:
+                yield _line_rows(doc, text)
+                yield from _tokens(doc, text, config, plain)
 
     kind = docs.schema["doc"].dataType.simpleString()
     return docs.select("doc", "text").mapInArrow(run, f"doc {kind}, {TOKENS}")

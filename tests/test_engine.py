@@ -1,8 +1,11 @@
 import hashlib
 import random
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField
 
 from gneiss.functions import arrays as A, normalize as N
 from gneiss.operators import forms, graph as G, indexed, integrity as I, lines as L, logic, quotes as Q, search
@@ -183,6 +186,27 @@ def test_an_index_holds_a_context_once(spark):
     assert (0, 1, 1, "the " * 4000) in words and (None, 2, 1, "the") in words and len(words) == 8, [w[:3] for w in words]
 
 
+def test_a_long_text_is_indexed_in_pieces(spark, monkeypatch):
+    def rows(text, size, config=N.Config()):
+        docs = SimpleNamespace(sparkSession=spark, schema={"doc": StructField("doc", LongType())}, select=lambda *_: docs, mapInArrow=lambda run, _: run)
+        monkeypatch.setattr(indexed, "SLICE_BYTES", size)
+        return [b for b in indexed.build_index(docs, config)(iter([pa.RecordBatch.from_pydict({"doc": [7], "text": [text]})]))]
+
+    def content(batches):
+        return sorted((list(r.values()) for b in batches for r in b.to_pylist()), key=str)
+
+    for text in ("the cat é\n" * 300_000, "the cat é " * 300_000):  # 3.3 MB
+        assert max(b.nbytes - b["context"].nbytes for b in rows(text, 1 << 20)) < 16e6
+    random.seed(6)
+    texts = [TEXT, "a-\nb c-\n\n d\n1. e\n12. f g 1. h", "a" * 90 + "\n" + "b" * 90, "\n" * 99, "- . " * 40, "é é\n" * 30]
+    texts += ["".join(random.choices(letters, k=200)) for letters in ("aB12\n-., (:)9é' ", "ab 1.\n", "a-\n ", "aÉ_ \n") for _ in range(30)]
+    for n in range(1, 30):  # white space at the end of what Arrow holds
+        assert [r["word"] for b in rows("a" * n + "\n", 1 << 20) for r in b.to_pylist() if r["word"]] == ["a" * n]
+    for config in (N.Config(), N.Config(ignore_case=False), N.Config(remove_stopwords=True)):
+        for text in texts:
+            assert content(rows(text, 5, config)) == content(rows(text, 1 << 20, config)), text
+
+
 def test_stopwords_in_places_and_columns_agree(spark):
     config = N.Config(remove_stopwords=True)
     random.seed(3)
